@@ -69,6 +69,21 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dic
     return df.mapInArrow(run, kind)
 
 
+_only: dict = {}
+
+
+def only(key, make: Callable[[], object]):
+    """What ``make`` builds for ``key``, kept for the next task of this Python worker; whatever was kept before goes.
+
+    Caches of different operators thus never stand in one worker's memory together.
+    """
+    if _only.get("key") != key:
+        _only.clear()
+        _only["value"] = make()
+        _only["key"] = key
+    return _only["value"]
+
+
 def crc_fold(key) -> F.Column:
     """crc32 of a key's text, modulo 4."""
     return F.crc32(key.cast("string").cast("binary")) % 4
