@@ -16,14 +16,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import map_columns, only
 
-SPACE, CACHE = "▁", 300_000
+SPACE, CACHE, SHORT, INF = "▁", 400_000, 40, float("inf")
 SEGMENT = re.compile("▁+[^▁]*")
 
 
@@ -33,6 +34,34 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Known(dict):
+    """Ids of segments as bytes. The first ``limit`` stay, others for the batch at hand; ``fresh`` lists what is new."""
+
+    def __init__(self, merge, limit: int):
+        self.merge, self.limit, self.misses = merge, limit, 0
+        self.batch: dict[str, bytes] = {}
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.batch.get(key)) is None:
+            value = pack(self.merge(key))
+            self.fresh.append(key)
+            (self if len(self) < self.limit else self.batch)[key] = value
+        return value
+
+    def close(self) -> None:
+        """End of a batch; all goes once misses say that what is remembered no longer fits what comes."""
+        self.misses += len(self.batch)
+        self.batch, self.fresh = {}, []
+        if self.misses > 8 * self.limit:
+            self.misses = 0
+            self.clear()
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     def __init__(self, path: str, cache: int = CACHE):
         import sentencepiece
@@ -44,18 +73,49 @@ class Codec:
         spec = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or any(p.type in (4, 5) for p in model.pieces):
             raise ValueError("only merge-type models with identity normalisation are supported")
-        self.scores = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
+        self.scores = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
+        self.rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if model.trainer_spec.byte_fallback else None
         self.unknown = self.library.unk_id()
         self.split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.scores)
-        self.limit, self.known = cache, {}
+        self.known, self.wrong = _Known(self.merge, cache), set()
+        self.decimal = [str(i) for i in range(len(model.pieces))]
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of an escaped segment, by the agenda."""
+        """Ids of an escaped segment, by the agenda: a list of the pairs' scores in place, a heap where it is long."""
         scores, symbols = self.scores, list(segment)
-        n = len(symbols)
+        symbols = self._short(symbols) if len(symbols) <= SHORT else self._long(symbols)
+        ids: list[int] = []
+        for s in symbols:
+            if s:
+                if (i := scores.get(s)) is not None:
+                    ids.append(i)
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in s.encode()]
+                else:
+                    ids.append(self.unknown)
+        return ids
+
+    def _short(self, symbols: list[str]) -> list[str]:
+        get = self.rank.get
+        agenda = [get(p, INF) for p in map(str.__add__, symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == INF:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], INF)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], INF)
+        return symbols
+
+    def _long(self, symbols: list[str]) -> list[str]:
+        get, n = self.rank.get, len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(hit[0], i, i + 1, symbols[i] + symbols[i + 1]) for i in range(n - 1) if (hit := scores.get(symbols[i] + symbols[i + 1]))]
+        agenda = [(r, i, i + 1, symbols[i] + symbols[i + 1]) for i in range(n - 1) if (r := get(symbols[i] + symbols[i + 1], INF)) != INF]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, piece = heapq.heappop(agenda)
@@ -65,20 +125,11 @@ class Codec:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if hit := scores.get(piece + symbols[k]):
-                    heapq.heappush(agenda, (hit[0], i, k, piece + symbols[k]))
-            if (h := before[i]) >= 0 and (hit := scores.get(symbols[h] + piece)):
-                heapq.heappush(agenda, (hit[0], h, i, symbols[h] + piece))
-        ids: list[int] = []
-        for s in symbols:
-            if s:
-                if hit := scores.get(s):
-                    ids.append(hit[1])
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in s.encode()]
-                else:
-                    ids.append(self.unknown)
-        return ids
+                if (r := get(piece + symbols[k], INF)) != INF:
+                    heapq.heappush(agenda, (r, i, k, piece + symbols[k]))
+            if (h := before[i]) >= 0 and (r := get(symbols[h] + piece, INF)) != INF:
+                heapq.heappush(agenda, (r, h, i, symbols[h] + piece))
+        return symbols
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -86,28 +137,31 @@ class Codec:
         escaped = SPACE + text.replace(" ", SPACE)
         return SEGMENT.findall(escaped) if self.split else [escaped]
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode new segments and check them against the library."""
-        theirs = self.library.encode([s[1:].replace(SPACE, " ") for s in fresh], num_threads=1)
-        for s, want in zip(fresh, theirs, strict=True):
-            ids = self.merge(s)
-            wrong = len(s) > 1 and ids != want
-            if wrong:
-                ids = want
-            self.known[s] = (",".join(map(str, ids)), ids, wrong)
+    def check(self) -> set[str]:
+        """Segments new in this batch for which the library gives other ids; its ids replace ours."""
+        known, wrong = self.known, set()
+        for at in range(0, len(known.fresh), 10_000):
+            some = known.fresh[at : at + 10_000]
+            theirs = self.library.encode([s[1:].replace(SPACE, " ") for s in some], num_threads=1)
+            for s, want in zip(some, map(pack, theirs), strict=True):
+                if known[s] != want and len(s) > 1:
+                    wrong.add(s)
+                    (known if s in known else known.batch)[s] = want
+        return wrong
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], str, int]]:
         """For each text: ids, their decimals joined by commas, and how many segments the library corrected."""
+        get, decimal = self.known.__getitem__, self.decimal.__getitem__
         parts = [self.segments(t or "") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        fresh = list(set().union(*parts) - self.known.keys())
-        for at in range(0, len(fresh), 10_000):
-            self.learn(fresh[at : at + 10_000])
+        data = [b"".join(map(get, p)) for p in parts]
+        if wrong := self.check():
+            self.wrong |= wrong
+            data = [b"".join(map(get, p)) for p in parts]
+        self.known.close()
         out = []
-        for p in parts:
-            got = list(map(self.known.__getitem__, p))
-            out.append((list(chain.from_iterable(g[1] for g in got)), ",".join(g[0] for g in got), sum(g[2] for g in got)))
+        for p, d in zip(parts, data, strict=True):
+            ids = np.frombuffer(d, "<u4").tolist()
+            out.append((ids, ",".join(map(decimal, ids)), sum(s in self.wrong for s in p) if self.wrong else 0))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -53,8 +53,9 @@ class Counter:
         if len(self.known) > self.limit:
             self.known = {}
         known = self.known
-        for p in set(pretokens) - known.keys():
-            known[p] = len(self.encoding.encode_ordinary(p))
+        for p in pretokens:
+            if p not in known:
+                known[p] = len(self.encoding.encode_ordinary(p))
         return list(map(known.__getitem__, pretokens))
 
 
