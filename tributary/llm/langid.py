@@ -15,8 +15,10 @@ Ties go to the language first in order. Repeated rows are predicted alike; other
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tributary.llm.common import map_columns
+from tributary.llm.common import map_columns, only
 
-SAMPLE, FEATURES, ORDERS, SWITCH, CACHE = 4_000, 200_000, 3, 6.0, 400_000
+SAMPLE, FEATURES, ORDERS, SWITCH, CACHE, WORDS = 4_000, 100_000, 3, 6.0, 200_000, 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: First and last code point of the scripts told apart (fixed values of the Unicode blocks).
@@ -50,6 +52,8 @@ SCRIPTS = {
 
 
 def script(word: str) -> str:
+    if word[0].isascii():
+        return "latin"
     point = ord(word[0])
     for name, ranges in SCRIPTS.items():
         if any(lo <= point <= hi for lo, hi in ranges):
@@ -71,28 +75,30 @@ def letters_of(token: str) -> str:
 class Model:
     langs: list[str]
     default: str
-    weights: dict[str, np.ndarray]
-    unseen: np.ndarray
+    index: Index
+    matrix: np.ndarray  # log probability of each n-gram by language; the last row is for n-grams not learnt
     scripts: dict[str, np.ndarray]
 
-    def __post_init__(self) -> None:
-        self.index = {g: i for i, g in enumerate(self.weights)}
-        self.matrix = np.array([*self.weights.values(), self.unseen])
-
     def words(self, ws: list[str]) -> np.ndarray:
         """Log scores of words; languages that don't use a word's script are out of reach, an unknown script tells nothing."""
         parts = [grams(w) for w in ws]
-        ends = np.cumsum([len(p) for p in parts])
-        last, get = len(self.matrix) - 1, self.index.get
-        flat = self.matrix[np.fromiter((get(g, last) for p in parts for g in p), np.int64, int(ends[-1]) if len(ends) else 0)]
-        sums = np.add.reduceat(flat, ends - [len(p) for p in parts], axis=0) / ORDERS
-        may = np.array([self.scripts.get(script(w), self.anything) for w in ws])
-        none = np.array([script(w) not in self.scripts for w in ws])
-        return np.where(none[:, None], 0.0, np.where(may, sums, -1e6))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(sizes)
+        rows = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(ends[-1]))
+        sums = np.add.reduceat(self.matrix[rows], ends - sizes, axis=0) / ORDERS
+        named = [script(w) for w in ws]
+        out = np.zeros_like(sums)  # a script of no learnt language tells nothing
+        for s in set(named) & self.scripts.keys():
+            mine = np.fromiter((n == s for n in named), bool, len(named))
+            out[mine] = np.where(self.scripts[s], sums[mine], -1e6)
+        return out
+
+
+class Index(dict):
+    """Rows of n-grams; the last row is for those not learnt."""
 
-    @property
-    def anything(self) -> np.ndarray:
-        return np.ones(len(self.langs), bool)
+    def __missing__(self, key: str) -> int:
+        return len(self)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -141,11 +147,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Mo
             scripts.setdefault(r["item"], np.zeros(len(langs)))[at[r.lang]] += r.n
     used = sum(scripts.values(), np.zeros(len(langs)))
     scripts = {k: m for k, v in scripts.items() if (m := v > 0.01 * used).any()}
-    weights = {g: np.log((v + 0.5) / (totals[len(g)] + 0.5 * 1e4)) for g, v in table.items()}
+    rows = [np.log((v + 0.5) / (totals[len(g)] + 0.5 * 1e4)) for g, v in table.items()]
     # An n-gram nobody has seen tells nothing; one value for all languages.
-    unseen = np.full(len(langs), float(np.log(0.5 / (totals.max() + 5e3))) if langs else 0.0)
+    rows.append(np.full(len(langs), float(np.log(0.5 / (totals.max() + 5e3))) if langs else 0.0))
     default = max(langs, key=lambda x: (docs_of[x], x), default="und")
-    return Model(langs, default, weights, unseen, scripts)
+    return Model(langs, default, Index((g, i) for i, g in enumerate(table)), np.array(rows, np.float32), scripts)
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -178,6 +184,14 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: f
     return label
 
 
+class _Numbers(dict):
+    """Numbers new keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Labeller:
     """Labels documents under a model; word scores are cached up to ``CACHE`` words."""
 
@@ -186,46 +200,60 @@ class Labeller:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.matrix, self.size, self.known = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def _scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > CACHE:
-            self._forget()
-        ids, model = self.ids, self.model
-        fresh = list(set(tokens) - ids.keys())
-        if fresh:
-            ids.update(zip(fresh, range(len(ids), len(ids) + len(fresh)), strict=True))
-            words = [letters_of(t) for t in fresh]
-            rows = np.zeros((len(fresh), len(model.langs)))
+        self.ids = _Numbers()
+        self.matrix, self.size, self.known = np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def _number(self, tokens: list[str]) -> np.ndarray:
+        """Numbers of words in the order of ``matrix``, which ``_score`` then brings up to date."""
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
+
+    def _score(self) -> None:
+        fresh, model = list(itertools.islice(reversed(self.ids), len(self.ids) - len(self.size)))[::-1], self.model
+        for at in range(0, len(fresh), 20_000):
+            words = [letters_of(t) for t in fresh[at : at + 20_000]]
+            rows = np.zeros((len(words), len(model.langs)), np.float32)
             some = [i for i, w in enumerate(words) if w]
             if some and model.langs:
                 rows[some] = model.words([words[i] for i in some])
             self.matrix = np.concatenate([self.matrix, rows])
-            self.size = np.concatenate([self.size, [len(w) for w in words]])
-            self.known = np.concatenate([self.known, [bool(w) and script(w) in model.scripts for w in words]]).astype(bool)
-        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens)), self.matrix
+            self.size = np.concatenate([self.size, np.array([len(w) for w in words], np.int32)])
+            self.known = np.concatenate([self.known, np.array([bool(w) and script(w) in model.scripts for w in words], bool)])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """For each text: language, score and spans ``(start, end, lang)`` of code points."""
         words = []
         for t in texts:
-            words.append([(m.start(), m.group()) for m in WORD.finditer(t.lower() if t and len(t.lower()) == len(t) else t or "")])
+            low = t.lower() if t else ""
+            words.append([(m.start(), m.group()) for m in WORD.finditer(low if t and len(low) == len(t) else t or "")])
         return self._label(texts, words)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        """For each text: language, score and number of spans."""
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        ids, found, sizes = self._run(words)
-        return [self._judge(i, lab) + (0 if not len(lab) else 1 + int((lab[1:] != lab[:-1]).sum()),) for i, lab in self._split(ids, found, sizes)]
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float, int]]:
+        """For each text: language, score and number of spans; some hundred thousand words at a time."""
+        out, part, held = [], [], 0
+        for t in texts:
+            part.append(self._number(WORD.findall(t.lower())) if t else np.zeros(0, np.int32))
+            held += len(part[-1])
+            if held >= WORDS:
+                out += self._predict(part)
+                part, held = [], 0
+        return out + self._predict(part)
+
+    def _predict(self, part: list[np.ndarray]) -> list[tuple[str, float, int]]:
+        if not part:
+            return []
+        ids, found, sizes = self._run(part)
+        out = [(*self._judge(i, lab), 1 + int((lab[1:] != lab[:-1]).sum()) if len(lab) else 0) for i, lab in self._split(ids, found, sizes)]
+        if len(self.ids) > CACHE:
+            self._forget()
+        return out
 
-    def _run(self, words):
-        flat = [w for ws in words for w in ws]
-        sizes = np.array([len(ws) for ws in words], np.int64)
-        ids, matrix = self._scores(flat)
-        if not self.model.langs or not len(flat):
-            return ids, np.zeros(len(flat), np.int64), sizes
-        return ids, viterbi(matrix[ids], np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes), sizes
+    def _run(self, numbered: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._score()
+        sizes = np.array([len(n) for n in numbered], np.int64)
+        ids = np.concatenate([*numbered, np.zeros(0, np.int32)])
+        if not self.model.langs or not len(ids):
+            return ids, np.zeros(len(ids), np.int64), sizes
+        return ids, viterbi(self.matrix[ids], np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes), sizes
 
     @staticmethod
     def _split(ids, found, sizes):
@@ -243,7 +271,7 @@ class Labeller:
         return self.model.langs[int(held.argmax())], round(float(held.max() / total), 6)
 
     def _label(self, texts, words):
-        ids, found, sizes = self._run([[w for _, w in ws] for ws in words])
+        ids, found, sizes = self._run([self._number([w for _, w in ws]) for ws in words])
         out = []
         for ws, (i, lab) in zip(words, self._split(ids, found, sizes), strict=True):
             spans: list[tuple[int, int, str]] = []
@@ -282,20 +310,12 @@ def keep_recognised(docs: DataFrame, model: Model, least: float = 0.25) -> DataF
 
     @pandas_udf("boolean")
     def recognised(text: pd.Series) -> pd.Series:
-        labeller, out = _labeller(shared), []
-        for at in range(0, len(text), 2000):
-            out += [lang != "und" and score >= least for lang, score, _ in labeller.predict([t if isinstance(t, str) else None for t in text.iloc[at : at + 2000]])]
-        return pd.Series(out, dtype=bool)
+        found = _labeller(shared).predict(t if isinstance(t, str) else None for t in text)
+        return pd.Series([lang != "und" and score >= least for lang, score, _ in found], dtype=bool)
 
     return docs.where(recognised(F.col("text").cast("string")))
 
 
-_held: dict = {}
-
-
 def _labeller(shared) -> Labeller:
     """One labeller for each model and Python worker, so that tasks share its cache."""
-    if _held.get("model") is not shared.value:
-        _held.clear()
-        _held.update(model=shared.value, labeller=Labeller(shared.value))
-    return _held["labeller"]
+    return only(("labeller", id(shared.value)), lambda: Labeller(shared.value))
