@@ -20,6 +20,8 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialize
+from tributary.llm.common import materialize, only
 
-CAPACITY, END_ID, GROUPS, LARGE, CACHE = 4096, 1, (8, 32, 64), 8, 500_000
+CAPACITY, END_ID, GROUPS, LARGE, CACHE = 4096, 1, (8, 32, 64), 8, 250_000
+#: The tokenizer's pattern below U+0250, and its characters for bytes that don't stand for themselves.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^ a-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
+BYTES = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -41,10 +46,12 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizers library does, remembering chunks between blanks.
+    """Encodes texts as the tokenizers library does, remembering chunks between blanks and the words in them.
 
-    Its pattern never joins what blanks divide, and its normalizer works within chunks; so a text's ids are
-    those of its chunks in order. Every chunk's ids come from the library.
+    The tokenizer's pattern never joins what blanks divide, and its normalizer works within chunks; so a text's
+    ids are those of its chunks in order, and a chunk's those of its pre-tokens. Merges are the library's model;
+    so are normalisation and cutting, but for chunks in Latin letters, where both are plain. Chunks that may hold a
+    special token go to the library whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -53,25 +60,57 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), cache
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.words = _Remember(self._word, cache)
+        self.chunks = _Remember(self._chunk, cache)
+
+    def _word(self, word: str) -> bytes:
+        return _bytes([t.id for t in self.tokenizer.model.tokenize(word)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if any(s in chunk for s in self.special):
+            return _bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[chunk.lower()]
+        if chunk.isprintable() and max(chunk, default="") < "\u0250" and "\u0130" not in chunk:
+            # Up to here in Unicode, lower case depends on no context and composed characters are all there is.
+            cut = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in LATIN.findall(chunk.lower())]
+        else:
+            cut = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))]
+        return b"".join(map(self.words.__getitem__, cut))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        fresh = list(set().union(*chunks) - known.keys())
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-        for c in chunks:
-            yield b"".join(map(known.__getitem__, c))
+        for t in texts:
+            yield b"".join(map(self.chunks.__getitem__, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-_encoders: dict[str, WordEncoder] = {}
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Remember(dict):
+    """Values of a function. The first ``limit`` keys stay; after as many misses again four times over, all go."""
+
+    def __init__(self, fn, limit: int):
+        self.fn, self.limit, self.misses = fn, limit, 0
+
+    def __missing__(self, key):
+        value = self.fn(key)
+        if len(self) < self.limit:
+            self[key] = value
+        else:
+            self.misses += 1
+            if self.misses > 4 * self.limit:
+                self.misses = 0
+                self.clear()
+        return value
+
+
+def encoder(path: str) -> WordEncoder:
+    return only(("words", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -82,13 +121,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         from pyspark import TaskContext
 
         part, ranks = TaskContext.get().partitionId(), {}
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
-        end = np.array([END_ID], "<u4").tobytes()
+        words = encoder(path)
+        end = _bytes([END_ID])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 1000).columns)
                 out: list[list] = [[] for _ in range(7)]
-                for doc, data in zip(ids, encoder.encode(texts), strict=True):
+                for doc, data in zip(ids, words.encode(texts), strict=True):
                     data += end
                     for k, lo in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[lo : lo + 4 * capacity]
