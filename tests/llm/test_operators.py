@@ -164,7 +164,7 @@ def test_cover_tree_empty(spark):
 
 def test_dual_counts_without_comparing():
     x = covertree.unit((np.ones((500, 16)) + np.random.default_rng(0).normal(size=(500, 16)) * 0.01).tolist(), 16)
-    dual = covertree.search(x, np.ones(500, np.int64), np.arange(500), None, 0.95)
+    dual = covertree.search(x, np.ones(500, np.int64), covertree.tree(x), None, 0.95)
     assert (dual.links == 499).all() and dual.compared == 0 and len({dual.root(i) for i in range(500)}) == 1
 
 

@@ -5,15 +5,13 @@ what two subtrees can hold. Equal vectors are collapsed first and rejoined last.
 
 Over the whole table the top of the tree is a set of cells around at most ``CELLS`` centres, taken by farthest
 first from a bounded sample; a cell's covering radius and size come from all its vectors. Cells are dealt into
-blocks of about ``BLOCK`` vectors, and a pair of blocks is one task; a vector goes to a block only if the
-block's covering radius and the bisector between centres leave a partner possible there, so cells far apart
-never meet. Within a task either block gets a cover tree (levels of halving radii) and the two are traversed
-together: node pairs further apart than their radii and the threshold allow are pruned, node pairs wholly within
+blocks of about ``BLOCK`` vectors, each of which gets a cover tree (levels of halving radii) once. Blocks of cells
+whose covering radii leave a partner possible meet in pairs, one task each; their trees are traversed together: node pairs further apart than their radii and the threshold allow are pruned, node pairs wholly within
 the threshold are counted as a whole and united without looking at their members, the rest is opened; single
 vectors are compared by cosine in double precision. Tasks return link counts and one edge per vector, never pairs.
 
 Where vectors have no structure at all (independent directions in many dimensions) no metric tree prunes much:
-block pairs, and copies of vectors sent to them, then grow with the square of the number of blocks.
+pairs of blocks, and copies of blocks sent to them, then grow with the square of their number.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of unlike
 dimension don't link. Repeated rows link with each other; an empty table gives an empty result; other columns are
@@ -23,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +37,19 @@ SLACK = 1e-9  # on bounds only; decisions on single pairs are by cosine
 
 
 class Node:
-    """A cover-tree node: its points, covering radius, and children within half the radius of their centres."""
+    """A cover-tree node: all its points (its centre first), their covering radius, and its children, each within half
+    the radius of its own centre: single points, and nodes."""
 
-    __slots__ = ("points", "radius", "children", "centres", "radii")
+    __slots__ = ("points", "radius", "singles", "nodes")
 
     def __init__(self, points: np.ndarray, radius: float):
         self.points, self.radius = points, radius
-        self.children: list[Node] = []
+        self.singles, self.nodes = points, []  # a leaf has single points only
+
+    def moved(self, by: int) -> Node:
+        out = Node(self.points + by, self.radius)
+        out.singles, out.nodes = self.singles + by, [n.moved(by) for n in self.nodes]
+        return out
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,19 +62,23 @@ def build(vectors: np.ndarray, points: np.ndarray, away: np.ndarray) -> Node:
     if len(points) <= LEAF or node.radius == 0.0:
         return node
     x = vectors[points]
-    between = distances(x, x)
     half, free = node.radius / 2, np.ones(len(points), bool)
-    while free.any():
-        c = int(free.argmax())
-        mine = np.flatnonzero(free & (between[c] <= half))
-        mine = np.concatenate([[c], mine[mine != c]])
+    close = x @ x.T >= 1 - half * half / 2  # within half the radius
+    near, singles = close.sum(1), []
+    for c in range(len(points)):
+        if not free[c]:
+            continue
+        if near[c] == 1:
+            singles.append(points[c])
+            continue
+        mine = np.flatnonzero(free & close[c])
         free[mine] = False
-        if len(mine) == len(points):  # radius of a centre no better placed: nothing is gained
-            return node
-        child = build(vectors, points[mine], between[c, mine]) if len(mine) > 1 else Node(points[mine], 0.0)
-        node.children.append(child)
-    node.centres = vectors[[k.points[0] for k in node.children]]
-    node.radii = np.array([k.radius for k in node.children])
+        mine = np.concatenate([[c], mine[mine != c]])
+        if len(mine) == 1:
+            singles.append(points[c])
+        else:
+            node.nodes.append(build(vectors, points[mine], distances(x[mine], x[[c]])[:, 0]))
+    node.singles = np.array(singles, np.int64)
     return node
 
 
@@ -107,15 +116,15 @@ class Dual:
         for i in a[1:]:
             self.unite(a[0], i)
 
-    def pairs(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+    def pairs(self, a: np.ndarray, b: np.ndarray, same: bool = False) -> None:
+        """Compare single points by cosine."""
+        if not len(a) or not len(b):
+            return
         close = self.vectors[a] @ self.vectors[b].T >= self.cosine
         self.compared += close.size
+        i, j = np.nonzero(close)
         if same:
-            close = np.triu(close, 1)
-        self.take(a, b, *np.nonzero(close))
-
-    def take(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-        """Links between ``a[i]`` and ``b[j]``."""
+            i, j = i[i < j], j[i < j]
         if len(i):
             a, b = a[i], b[j]
             np.add.at(self.links, a, self.weights[b])
@@ -123,62 +132,64 @@ class Dual:
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 self.unite(x, y)
 
+    def points(self, some: np.ndarray, node: Node) -> None:
+        """Single points against a node."""
+        far = distances(self.vectors[some], self.vectors[node.points[:1]])[:, 0]
+        self.compared += len(some)
+        inside = far + node.radius + SLACK <= self.reach
+        if inside.any():
+            self.whole(some[inside], node.points)
+        some = some[~inside & (far <= node.radius + self.reach + SLACK)]
+        if len(some):
+            self.pairs(some, node.singles)
+            for n in node.nodes:
+                self.points(some, n)
+
     def meet(self, a: Node, b: Node) -> None:
+        """Links between two nodes, or within one."""
         same = a is b
         if same and 2 * a.radius + SLACK <= self.reach:
             return self.whole(a.points, None)
-        if not a.children or not b.children:
-            if a.children or b.children:  # open the one that can be opened
-                big, small = (a, b) if a.children else (b, a)
-                far = distances(big.centres, self.vectors[small.points[:1]])[:, 0]
-                for k in np.flatnonzero(far <= big.radii + small.radius + self.reach + SLACK):
-                    self.meet(big.children[k], small)
-                return None
-            return self.pairs(a.points, b.points, same)
-        gram = a.centres @ b.centres.T
-        self.compared += gram.size
-        far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * gram))
-        radii = a.radii[:, None] + b.radii[None, :]
-        near = far <= radii + self.reach + SLACK
-        if same:
-            near = np.triu(near)
-        single = near & (a.radii[:, None] == 0) & (b.radii[None, :] == 0)
-        # Nodes of radius zero may still hold several points (equal directions).
-        many_a, many_b = np.array([len(k.points) > 1 for k in a.children]), np.array([len(k.points) > 1 for k in b.children])
-        single &= ~many_a[:, None] & ~many_b[None, :]
-        heads_a, heads_b = np.array([k.points[0] for k in a.children]), np.array([k.points[0] for k in b.children])
-        linked = single & (gram >= self.cosine)
-        if same:
-            linked = np.triu(linked, 1)
-        self.take(heads_a, heads_b, *np.nonzero(linked))
-        rest = near & ~single
-        inside = rest & (far + radii + SLACK <= self.reach)
-        for i, j in zip(*np.nonzero(rest), strict=True):
-            p, q = a.children[i], b.children[j]
-            if same and i == j:
-                self.meet(p, p)
-            elif inside[i, j]:
-                self.whole(p.points, q.points)
-            else:
-                self.meet(p, q)
+        self.pairs(a.singles, b.singles, same)
+        for n in b.nodes:
+            if len(a.singles):
+                self.points(a.singles, n)
+        if not same and len(b.singles):
+            for n in a.nodes:
+                self.points(b.singles, n)
+        if a.nodes and b.nodes:
+            far = distances(self.vectors[[n.points[0] for n in a.nodes]], self.vectors[[n.points[0] for n in b.nodes]])
+            self.compared += far.size
+            radii = np.array([n.radius for n in a.nodes])[:, None] + np.array([n.radius for n in b.nodes])
+            near = far <= radii + self.reach + SLACK
+            for i, j in zip(*np.nonzero(np.triu(near) if same else near), strict=True):
+                p, q = a.nodes[i], b.nodes[j]
+                if p is not q and far[i, j] + radii[i, j] + SLACK <= self.reach:
+                    self.whole(p.points, q.points)
+                else:
+                    self.meet(p, q)
         return None
 
 
-def search(vectors: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray | None, cosine: float) -> Dual:
-    """Links among ``left`` (``right`` is None) or between ``left`` and ``right``."""
+def tree(vectors: np.ndarray) -> Node:
+    return build(vectors, np.arange(len(vectors)), distances(vectors, vectors[:1])[:, 0])
+
+
+def search(vectors: np.ndarray, weights: np.ndarray, left: Node, right: Node | None, cosine: float) -> Dual:
+    """Links within ``left`` (``right`` is None) or between ``left`` and ``right``."""
     dual = Dual(vectors, weights, cosine)
-    tree = lambda p: build(vectors, p, distances(vectors[p], vectors[p[:1]])[:, 0])
     if right is None:
-        a = tree(left)
-        dual.meet(a, a)
-    elif len(left) and len(right):
-        a, b = tree(left), tree(right)
-        if float(distances(vectors[left[:1]], vectors[right[:1]])[0, 0]) <= a.radius + b.radius + dual.reach + SLACK:
-            dual.meet(a, b)
+        dual.meet(left, left)
+        return dual
+    far = float(distances(vectors[left.points[:1]], vectors[right.points[:1]])[0, 0])
+    if far + left.radius + right.radius + SLACK <= dual.reach:
+        dual.whole(left.points, right.points)
+    elif far <= left.radius + right.radius + dual.reach + SLACK:
+        dual.meet(left, right)
     return dual
 
 
-def unit(rows: list, dim: int) -> np.ndarray:
+def unit(rows, dim: int) -> np.ndarray:
     x = np.array(rows, np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -240,38 +251,41 @@ def _links(classes: DataFrame, dim: int, total: int, cosine: float, block: int,
     radius = np.array([cell[c].radius if c in cell else -9.0 for c in range(len(pivots))])
     blocks = np.array([-(-cell[c].size // block) if c in cell else 0 for c in range(len(pivots))], np.int64)
     first = np.concatenate([[0], np.cumsum(blocks)])
-    layout = spark.broadcast((radius, blocks, first))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        radii, many, base = layout.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                home, own = b.column(3).to_numpy(), b.column(4).to_numpy()
-                key = b.column(0).to_numpy()
-                away = distances(unit(b.column(2).to_pylist(), dim), shared.value)
-                # A partner of a vector lies within reach of its cell, and beyond the bisector by no more than twice the reach.
-                sees = (away <= radii + reach + SLACK) & (away <= own[:, None] + 2 * reach + SLACK)
-                sees[np.arange(len(home)), home] = True
-                salt = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many[home]
-                mine = base[home] + salt
-                row, other = np.nonzero(sees)
-                times = many[other]
-                to = np.repeat(base[other], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row = np.repeat(row, times)
-                me = mine[row]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, to)), pa.array(np.maximum(me, to)), pa.array(me), *(b.column(i).take(pa.array(row)) for i in (0, 1, 2))], names=["x", "y", "me", "key", "n", "embedding"])
+    # Cells whose covering radii leave room for a partner meet, block by block.
+    near = distances(pivots, pivots) <= radius[:, None] + radius[None, :] + reach + SLACK
+    layout = spark.broadcast((blocks, first, near))
+    code = "<f4" if "float" in kind else "<f8"
 
-    def run(table: pa.Table) -> pa.Table:
-        # Keys in order, so that the least key heads whatever it is united with.
+    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, base, _ = layout.value
+        for b in batches:
+            home, key = b.column(3).to_numpy(), b.column(0).to_numpy()
+            salt = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many[home]
+            yield pa.RecordBatch.from_arrays([pa.array(base[home] + salt), b.column(3), *b.columns[:3]], names=["block", "cell", "key", "n", "embedding"])
+
+    def plant(table: pa.Table) -> pa.Table:
+        """One row for a block: its vectors, their tree, and the blocks it meets."""
+        many, base, meets = layout.value
         table = table.sort_by("key")
-        x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        me, keys = table["me"].to_numpy(), table["key"].to_numpy()
-        vectors = unit(table["embedding"].to_pylist(), dim)
-        left, right = np.flatnonzero(me == x), np.flatnonzero(me == y)
-        dual = search(vectors, table["n"].to_numpy(), left, None if x == y else right, cosine)
-        hit = np.flatnonzero(dual.links)
-        return pa.table({"key": pa.array(keys[hit]), "n_links": pa.array(dual.links[hit]), "head": pa.array(np.array([keys[dual.root(i)] for i in hit], np.int64))})
+        raw = np.array(table["embedding"].to_pylist(), code)
+        mine = table["block"][0].as_py()
+        others = np.concatenate([np.arange(base[c], base[c] + many[c]) for c in np.flatnonzero(meets[table["cell"][0].as_py()])])
+        row = {"block": mine, "x": [min(mine, o) for o in others.tolist()], "y": [max(mine, o) for o in others.tolist()], "keys": table["key"].to_numpy().astype("<i8").tobytes(), "weights": table["n"].to_numpy().astype("<i8").tobytes(), "vectors": raw.tobytes(), "tree": pickle.dumps(tree(unit(raw, dim)))}
+        return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
-    sent = dealt.mapInArrow(send, f"x long, y long, me long, key long, n long, embedding {kind}")
-    return sent.groupBy("x", "y").applyInArrow(run, "key long, n_links long, head long")
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        keys = np.concatenate([np.frombuffer(r["keys"], "<i8") for r in rows])
+        weights = np.concatenate([np.frombuffer(r["weights"], "<i8") for r in rows])
+        vectors = np.concatenate([unit(np.frombuffer(r["vectors"], code), dim) for r in rows])
+        trees = [pickle.loads(r["tree"]) for r in rows]
+        dual = search(vectors, weights, trees[0], trees[1].moved(len(trees[0].points)) if len(rows) > 1 else None, cosine)
+        hit = np.flatnonzero(dual.links)
+        roots = np.array([dual.root(i) for i in hit], np.int64)
+        return pa.table({"key": pa.array(keys[hit]), "n_links": pa.array(dual.links[hit]), "head": pa.array(keys[roots])})
+
+    placed = dealt.mapInArrow(block_of, f"block long, cell int, key long, n long, embedding {kind}")
+    grown = placed.groupBy("block").applyInArrow(plant, "block long, x array<long>, y array<long>, keys binary, weights binary, vectors binary, tree binary")
+    grown = materialize(grown, "trees")
+    pairs = grown.select("block", F.explode(F.arrays_zip("x", "y")).alias("p"), "keys", "weights", "vectors", "tree").select("p.x", "p.y", "block", "keys", "weights", "vectors", "tree")
+    return pairs.groupBy("x", "y").applyInArrow(run, "key long, n_links long, head long")
