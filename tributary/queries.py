@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions import dialect
 from tributary.operators import closure, tables
+from tributary.plans import etl, session
 from tributary.schemas import schema
+from tributary.sources import files
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -340,4 +343,154 @@ UNION SELECT 'N' || c_nationkey, '#C' || c_custkey, CASE WHEN c_acctbal < 0 THEN
 UNION SELECT '#C' || o_custkey, 'O' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Aggregate' ELSE 'Direct' END FROM orders
 """
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}
+def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One script per part: a table, and a procedure that loads it through a temp table."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_size", F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("file"), F.col("p_partkey").cast("string").alias("k"))
+    text = F.concat(
+        F.lit("CREATE TABLE dbo.src"), "k", F.lit(" (id int, price decimal(18,2), brand varchar(20), size int);\nGO\nCREATE TABLE dbo.out"), "k",
+        F.lit(" (id int, total decimal(18,2), label varchar(50));\nGO\nCREATE PROCEDURE dbo.load"), "k",
+        F.lit(" AS\nBEGIN\n  SELECT s.id, "), F.when(F.col("p_size") % 2 == 0, "SUM(s.price)").otherwise("s.price * 2"), F.lit(" AS total, s.brand INTO #t FROM dbo.src"), "k",
+        F.lit(" s WHERE s.size > "), F.col("p_size").cast("string"), F.lit(" GROUP BY s.id, s.brand;\n  INSERT INTO dbo.out"), "k",
+        F.lit(" (id, total, label) SELECT t.id, t.total, UPPER(t.brand) FROM #t t;\nEND"),
+    )
+    return p.select("file", text.alias("text"))
+
+
+def _session(spark: SparkSession, sf_dir: str) -> session.LineageSession:
+    return session.LineageSession.from_scripts(spark, files.read_script_table(_procedures(spark, sf_dir), "file", "text"))
+
+
+def tsql_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse and bind a procedure for each part; its edges."""
+    out = _session(spark, sf_dir).analyze()["ColumnLineage"]
+    return out.select("ModuleName", "StatementType", "SourceObject", "SourceColumn", "TargetObject", "TargetColumn", "FlowKind", "Confidence", "Provenance")
+
+
+SQL["tsql_column_lineage"] = """
+WITH p AS (SELECT 'load' || p_partkey AS m, 'src' || p_partkey AS s, 'out' || p_partkey AS o, p_size % 2 = 0 AS agg FROM part),
+e AS (
+  SELECT m, 'SELECT INTO' AS st, s AS so, 'id' AS sc, '#t' AS tobj, 'id' AS tc, 'Direct' AS k FROM p
+  UNION ALL SELECT m, 'SELECT INTO', s, 'price', '#t', 'total', CASE WHEN agg THEN 'Aggregate' ELSE 'Expression' END FROM p
+  UNION ALL SELECT m, 'SELECT INTO', s, 'brand', '#t', 'brand', 'Direct' FROM p
+  UNION ALL SELECT m, 'SELECT INTO', s, c, '#t', '*', 'Indirect' FROM p, (VALUES ('size'), ('id'), ('brand')) v(c)
+  UNION ALL SELECT m, 'INSERT SELECT', '#t', c, o, c, 'Direct' FROM p, (VALUES ('id'), ('total')) v(c)
+  UNION ALL SELECT m, 'INSERT SELECT', '#t', 'brand', o, 'label', 'Expression' FROM p)
+SELECT m AS "ModuleName", st AS "StatementType", so AS "SourceObject", sc AS "SourceColumn", tobj AS "TargetObject", tc AS "TargetColumn", k AS "FlowKind", 'Exact' AS "Confidence", 'Static' AS "Provenance" FROM e
+"""
+
+
+def tsql_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same procedures from text to persistent flows."""
+    s = _session(spark, sf_dir)
+    t = s.analyze()
+    out = closure.collapse(t["ColumnLineage"], t["ObjectLineage"], t["ResultSets"])
+    return out.select("ModuleName", "SourceObject", "SourceColumn", "TargetObject", "TargetColumn", "FlowKind", F.col("Hops").cast("bigint").alias("Hops"), "Confidence")
+
+
+SQL["tsql_collapsed"] = """
+SELECT 'load' || p_partkey AS "ModuleName", 'src' || p_partkey AS "SourceObject", sc AS "SourceColumn", 'out' || p_partkey AS "TargetObject", tc AS "TargetColumn",
+  CASE sc WHEN 'id' THEN 'Direct' WHEN 'brand' THEN 'Expression' ELSE CASE WHEN p_size % 2 = 0 THEN 'Aggregate' ELSE 'Expression' END END AS "FlowKind", CAST(2 AS BIGINT) AS "Hops", 'Exact' AS "Confidence"
+FROM part, (VALUES ('id', 'id'), ('price', 'total'), ('brand', 'label')) v(sc, tc)
+"""
+
+
+def tsql_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over the same procedures."""
+    t = _session(spark, sf_dir).analyze()
+    return tables.summary(t["Modules"], t["DynamicSql"], t["Unresolved"]).select("Database", *[F.col(c).cast("bigint").alias(c) for c in ("Modules", "Parsed", "Statements", "ColumnEdges", "DynamicSites")], "ParseRate", "BindRate")
+
+
+SQL["tsql_summary"] = """
+SELECT 'FILES' AS "Database", count(*) AS "Modules", count(*) AS "Parsed", 2 * count(*) AS "Statements", 9 * count(*) AS "ColumnEdges", CAST(0 AS BIGINT) AS "DynamicSites", CAST(1.0 AS DOUBLE) AS "ParseRate", CAST(1.0 AS DOUBLE) AS "BindRate" FROM part
+"""
+
+
+def etl_port_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export with a mapping for each supplier; its physical lineage."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    xml = F.concat(
+        F.lit('<POWERMART><REPOSITORY><FOLDER NAME="F'), "k", F.lit('"><SOURCE NAME="S'), "k", F.lit('" DBDNAME="DB" OWNERNAME="dbo"><SOURCEFIELD NAME="A"/><SOURCEFIELD NAME="B"/></SOURCE><TARGET NAME="T'), "k",
+        F.lit('"><TARGETFIELD NAME="A"/><TARGETFIELD NAME="C"/></TARGET><MAPPING NAME="m"><TRANSFORMATION NAME="SQ" TYPE="Source Qualifier"><TRANSFORMFIELD NAME="A" PORTTYPE="INPUT/OUTPUT"/><TRANSFORMFIELD NAME="B" PORTTYPE="INPUT/OUTPUT"/></TRANSFORMATION><TRANSFORMATION NAME="E" TYPE="Expression"><TRANSFORMFIELD NAME="B" PORTTYPE="INPUT"/><TRANSFORMFIELD NAME="C" PORTTYPE="OUTPUT" EXPRESSION="UPPER(B)"/></TRANSFORMATION><INSTANCE NAME="S" TRANSFORMATION_NAME="S'), "k",
+        F.lit('" TRANSFORMATION_TYPE="Source Definition"/><INSTANCE NAME="SQ" TRANSFORMATION_NAME="SQ" TRANSFORMATION_TYPE="Source Qualifier"/><INSTANCE NAME="E" TRANSFORMATION_NAME="E" TRANSFORMATION_TYPE="Expression"/><INSTANCE NAME="T" TRANSFORMATION_NAME="T'), "k",
+        F.lit('" TRANSFORMATION_TYPE="Target Definition"/><CONNECTOR FROMINSTANCE="S" FROMFIELD="A" TOINSTANCE="SQ" TOFIELD="A"/><CONNECTOR FROMINSTANCE="S" FROMFIELD="B" TOINSTANCE="SQ" TOFIELD="B"/><CONNECTOR FROMINSTANCE="SQ" FROMFIELD="B" TOINSTANCE="E" TOFIELD="B"/><CONNECTOR FROMINSTANCE="SQ" FROMFIELD="A" TOINSTANCE="T" TOFIELD="A"/><CONNECTOR FROMINSTANCE="E" FROMFIELD="C" TOINSTANCE="T" TOFIELD="C"/></MAPPING></FOLDER></REPOSITORY></POWERMART>'),
+    )
+    return etl.run(s.select(xml.alias("text")))["EtlColumnLineage"].select("Folder", "SourceTable", "SourceColumn", "TargetTable", "TargetColumn", "FlowKind", F.col("Hops").cast("bigint").alias("Hops"))
+
+
+SQL["etl_port_lineage"] = """
+SELECT 'F' || s_suppkey AS "Folder", 'dbo.S' || s_suppkey AS "SourceTable", a AS "SourceColumn", 'T' || s_suppkey AS "TargetTable", c AS "TargetColumn", k AS "FlowKind", CAST(h AS BIGINT) AS "Hops"
+FROM supplier, (VALUES ('A', 'A', 'Direct', 2), ('B', 'C', 'Expression', 4)) v(a, c, k, h)
+"""
+
+#: T-SQL queries that are analysed and also run: the text for Spark (through the dialect), the SQL for comparison.
+CORPUS: dict[str, tuple[str, str]] = {
+    "corpus_exec_joins": (
+        "SELECT c.[c_custkey], n.n_name, ISNULL(o.total, 0) AS total FROM dbo.customer c INNER JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total FROM orders WITH (NOLOCK) GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey",
+        "SELECT c_custkey, n_name, coalesce(total, 0) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+    ),
+    "corpus_exec_full_join": (
+        "SELECT s.s_nationkey, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, COUNT_BIG(*) AS n FROM supplier GROUP BY s_nationkey) s FULL JOIN (SELECT c_nationkey, COUNT_BIG(*) AS n FROM customer GROUP BY c_nationkey) c ON c.c_nationkey = s.s_nationkey",
+        "SELECT s_nationkey, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = s_nationkey",
+    ),
+    "corpus_exec_exists": (
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) OR c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) OR c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    ),
+    "corpus_exec_rollup": (
+        "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    ),
+    "corpus_exec_cube": (
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    ),
+    "corpus_exec_grouping_sets": (
+        "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n, MIN(c_custkey) AS first FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+        "SELECT c_mktsegment, c_nationkey, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
+    ),
+    "corpus_exec_window": (
+        "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
+        "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders",
+    ),
+    "corpus_exec_top": (
+        "SELECT TOP (10) p_partkey, p_size, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS class FROM part ORDER BY p_size DESC, p_partkey",
+        "SELECT p_partkey, p_size, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS class FROM part ORDER BY p_size DESC, p_partkey LIMIT 10",
+    ),
+    "corpus_exec_except": (
+        "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+        "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    ),
+    "corpus_exec_intersect": (
+        "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal < 0",
+        "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal < 0",
+    ),
+    "corpus_exec_union": (
+        "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier WHERE s_acctbal BETWEEN 0 AND 500",
+        "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION ALL SELECT s_name FROM supplier WHERE s_acctbal BETWEEN 0 AND 500",
+    ),
+    "corpus_exec_cte": (
+        "WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 5) SELECT c.c_name, b.n, LEN(c.c_name) AS size FROM big b JOIN customer c ON c.c_custkey = b.o_custkey WHERE c.c_name LIKE '%1%'",
+        "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 5) SELECT c_name, n, CAST(length(c_name) AS INT) AS size FROM big JOIN customer ON c_custkey = o_custkey WHERE c_name LIKE '%1%'",
+    ),
+    "corpus_exec_pivot": (
+        "SELECT * FROM (SELECT event_type, user_id, event_id FROM events) e PIVOT (COUNT(event_id) FOR event_type IN ('view' AS views, 'purchase' AS purchases))",
+        "SELECT user_id, nullif(count(*) FILTER (event_type = 'view'), 0) AS views, nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchases FROM events GROUP BY user_id",
+    ),
+    "corpus_exec_unpivot": (
+        "SELECT l_orderkey, l_linenumber, what, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) x UNPIVOT (amount FOR what IN (l_discount, l_tax)) u",
+        "SELECT l_orderkey, l_linenumber, 'l_discount' AS what, l_discount AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem",
+    ),
+}
+
+
+def _corpus(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {t: _t(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if t in CORPUS[name][0]}
+        return dialect.execute(spark, CORPUS[name][0], used)
+
+    query.__name__ = name
+    return query
+
+
+SQL |= {n: sql for n, (_, sql) in CORPUS.items()}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL} | {n: _corpus(n) for n in CORPUS}
