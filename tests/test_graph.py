@@ -199,3 +199,30 @@ def test_streaming_feed(spark, tmp_path):
     rows.coalesce(1).write.mode("append").parquet(src)  # nothing new in it
     feed.start(feed.read_feed(spark, src), out, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(f"{out}/ColumnLineage").count() == 1
+
+
+def test_unreadable_modules_refer_to_catalog_dependencies(spark):
+    rows = [files.Entry("S", "D", "dbo", "t", "Table"), files.Entry("S", "D", "dbo", "clr", "ClrModule"), files.Entry("S", "D", "dbo", "p", "Procedure", definition="CREATE PROCEDURE dbo.p AS SELECT 1 AS c")]
+    deps = spark.createDataFrame([("S", "D", "dbo", "clr", "S", "D", "dbo", "t"), ("S", "D", "dbo", "p", "S", "D", "dbo", "gone")], "Server string, Database string, ModuleSchema string, ModuleName string, ReferencedServer string, ReferencedDatabase string, ReferencedSchema string, ReferencedName string")
+    s = session.LineageSession(spark, spark.createDataFrame([files.pack(e) for e in rows], files.ENTRY), deps=deps)
+    t = s.run_all()
+    assert {(r.ModuleName, r.ParseStatus) for r in t["Modules"].collect()} == {("clr", "NoDefinition(CLR)"), ("p", "Parsed")}
+    assert [(r.ModuleName, r.Action, r.ObjectName, r.Provenance) for r in t["ObjectLineage"].where("Provenance = 'Catalog'").collect()] == [("clr", "References", "t", "Catalog")]
+    assert {(r.ReferencedName, r.FoundInAnalysis) for r in t["CatalogDeps"].collect()} == {("t", True), ("gone", False)}
+    assert [r.Name for r in t["Unresolved"].where("Kind = 'CatalogDepMissed'").collect()] == ["gone"]
+
+
+def test_job_steps(spark):
+    steps = spark.createDataFrame([("S", "D", "nightly", 1, "INSERT INTO dbo.t SELECT 1")], "server string, database string, job string, step_id int, command string")
+    t = session.LineageSession(spark, files.entries_of_job_steps(steps)).analyze()
+    assert [(r.ModuleSchema, r.ModuleName, r.ModuleType) for r in t["Modules"].collect()] == [("job", "nightly#1", "JobStep")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tributary.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.sql").write_text("CREATE TABLE dbo.a (x int);\nGO\nCREATE TABLE dbo.b (y int);\nGO\nCREATE PROCEDURE dbo.p AS INSERT INTO dbo.b (y) SELECT x FROM dbo.a")
+    main(["run", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
+    main(["graph", str(tmp_path / "out"), "dbo.b"])
+    assert '"FILES.dbo.a" -> "FILES.dbo.b"' in capsys.readouterr().out

@@ -16,9 +16,10 @@ from tributary.operators import closure, tables
 from tributary.schemas import DDL, schema
 from tributary.sources import files
 from tributary.tsql.analyze import DEFAULTS, analyze, created_tables, literal_calls
-from tributary.tsql.model import Entry
+from tributary.tsql.model import Catalog, Column, Entry
 
-MODULE_TYPES = ("Procedure", "View", "ScalarFunction", "InlineTvf", "MsTvf", "Trigger", "JobStep", "Script")
+MODULE_TYPES = ("Procedure", "View", "ScalarFunction", "InlineTvf", "MsTvf", "Trigger", "JobStep", "Script", "ClrModule")
+UNREAD = ("Quarantined", "NoDefinition(CLR)", "NoDefinition(Encrypted)", "DefinitionSizeLimit", "Error")
 ROW_TABLES = ("ColumnLineage", "ObjectLineage", "DynamicSql", "Unresolved", "Statements", "Modules")
 
 
@@ -35,20 +36,45 @@ class Config:
     dedup: bool = True
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a row is a text to parse, so small tables are worth many tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+_built: dict = {}
+
+
+def _catalog(shared: tuple, patterns: list[str]) -> tuple[Catalog, dict]:
+    """The catalog with tables that code creates, and literals by procedure and parameter; built once in a worker."""
+    if _built.get("of") is not shared:
+        rows, known = shared
+        catalog, args = files.catalog_of(rows, patterns), {}
+        for kind, server, database, name, param, values, _ in known:
+            parts = split_name(name)
+            s = parts[-2] if len(parts) > 1 else "dbo"
+            if kind == "table" and catalog.get(server, database, s, parts[-1]) is None:
+                cols = [Column(*c) for c in json.loads(values[0])] if values else None
+                catalog.add(Entry(server, database, s, parts[-1], "Table", cols, overlay=True))
+            elif kind == "arg" and (e := catalog.get(server, database, s, parts[-1])) is not None:
+                p = e.params[int(param[1:]) - 1] if param[1:].isdigit() and int(param[1:]) <= len(e.params) else param
+                args.setdefault(e.obj.key, {}).setdefault(fold(p), []).extend(values)
+        _built.update(of=shared, value=(catalog, args))
+    return _built["value"]
+
+
 class LineageSession:
     """A run over catalog entries. The catalog without definitions is small and goes to all tasks; definitions are
     read where they are analysed, but for views and inline functions, whose shapes others need."""
 
     def __init__(self, spark: SparkSession, entries: DataFrame, config: Config | None = None, deps: DataFrame | None = None, previous: dict[str, DataFrame] | None = None):
         self.spark, self.config, self.deps, self.previous = spark, config or Config(), deps, previous
-        # Objects of one name and schema: the last one wins within a file order, as in a script run top to bottom.
         self.entries = materialize(entries, "entries")
         self.tables: dict[str, DataFrame] = {}
         self.tasks: dict[str, str] = {"prepass": "pending", "analyze": "pending", "merge": "pending"}
 
     @classmethod
     def from_scripts(cls, spark: SparkSession, batches: DataFrame, config: Config | None = None, extra: list[Entry] = (), **more) -> LineageSession:
-        rows = files.entries(batches.orderBy("file", "batch"))
+        rows = files.entries(_spread(batches))
         if extra:
             rows = spark.createDataFrame([files.pack(e) for e in extra], files.ENTRY).unionByName(rows)
         return cls(spark, rows, config, **more)
@@ -70,7 +96,7 @@ class LineageSession:
     def _catalog_rows(self) -> list:
         """Catalog without the definitions nobody else needs; bounded by the number of objects."""
         slim = self.entries.where("type <> 'Script'").withColumn("definition", F.when(F.col("type").isin("View", "InlineTvf"), F.col("definition")))
-        return [r.asDict() for r in slim.collect()]
+        return sorted((r.asDict() for r in slim.collect()), key=lambda r: r["source"] or "")
 
     def prepass(self) -> dict:
         """Literals passed to parameters, and tables that code creates."""
@@ -87,7 +113,7 @@ class LineageSession:
                 yield pd.DataFrame(out, columns=["kind", "server", "database", "name", "param", "value"])
 
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES) & F.col("definition").isNotNull())
-        rows = mods.mapInPandas(run, "kind string, server string, database string, name string, param string, value string")
+        rows = _spread(mods).mapInPandas(run, "kind string, server string, database string, name string, param string, value string")
         facts = rows.distinct().groupBy("kind", "server", "database", "name", "param").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 32).alias("values"), F.count("*").alias("n")).collect()
         self.tasks["prepass"] = "done"
         return {"facts": [tuple(r) for r in facts]}
@@ -107,27 +133,11 @@ class LineageSession:
         todo = named.withColumnsRenamed({"Server": "server", "Database": "database", "ModuleSchema": "schema", "ModuleName": "name"})
 
         def run(frames):
-            rows, known = shared.value
-            catalog = files.catalog_of(rows, patterns)
-            args: dict = {}
-            for kind, server, database, name, param, values, _ in known:
-                parts = split_name(name)
-                s = parts[-2] if len(parts) > 1 else "dbo"
-                if kind == "table" and catalog.get(server, database, s, parts[-1]) is None:
-                    from tributary.tsql.model import Column
-
-                    cols = [Column(*c) for c in json.loads(values[0])] if values else None
-                    catalog.add(Entry(server, database, s, parts[-1], "Table", cols, overlay=True))
-                elif kind == "arg":
-                    e = catalog.get(server, database, s, parts[-1])
-                    if e is not None:
-                        p = e.params[int(param[1:]) - 1] if param[1:].isdigit() and int(param[1:]) <= len(e.params) else param
-                        args.setdefault(e.obj.key, {}).setdefault(fold(p), []).extend(values)
+            catalog, args = _catalog(shared.value, patterns)
             for f in frames:
                 out = []
                 for r in f.to_dict("records"):
                     e = files.unpack(r)
-                    e.type = e.type or "Script"
                     row, more, first = analyze(catalog, e, {"args": args}, settings, run_id)
                     row |= {"DefinitionHash": r["DefinitionHash"]}
                     out.append(("Modules", json.dumps(row)))
@@ -135,13 +145,20 @@ class LineageSession:
                     out += [("ResultSet", json.dumps({"Server": e.server, "Database": e.database, "Schema": e.schema, "Object": e.name, "Ordinal": i + 1, "Name": n})) for i, n in enumerate(first)]
                 yield pd.DataFrame(out, columns=["table", "payload"])
 
-        raw = materialize(todo.select(*[c.split()[0] for c in files.ENTRY.split(", ")], "DefinitionHash").mapInPandas(run, "table string, payload string"), "analysis")
+        raw = materialize(_spread(todo).select(*[c.split()[0] for c in files.ENTRY.split(", ")], "DefinitionHash").mapInPandas(run, "table string, payload string"), "analysis")
         part = lambda t, s: raw.where(F.col("table") == t).select(F.from_json("payload", s).alias("r")).select("r.*")
         for t in ROW_TABLES:
             self.tables[t] = part(t, schema(t))
             if reused is not None and t in self.previous:
                 kept = tables.restore_rows(self.previous[t], reused, by, run_id)
                 self.tables[t] = self.tables[t].unionByName(kept.withColumn("Reused", F.lit(True)) if t == "Modules" else kept)
+        if self.deps is not None:  # what can't be read refers to what the server's catalog says it does
+            by = ["Server", "Database", "ModuleSchema", "ModuleName"]
+            unread = self.tables["Modules"].where(F.col("ParseStatus").isin(*UNREAD)).select("RunId", *by, "ModuleType")
+            ref = {"StatementNo": F.lit(0), "StatementType": F.lit("CATALOG"), "Line": F.lit(0), "Action": F.lit("References"), "ObjectServer": F.col("ReferencedServer"), "ObjectDatabase": F.col("ReferencedDatabase"), "ObjectSchema": F.col("ReferencedSchema"), "ObjectName": F.col("ReferencedName"), "ObjectType": F.lit("Unresolved"), "Provenance": F.lit("Catalog"), "Confidence": F.lit("Medium"), "Note": F.lit("")}
+            rows = self.deps.join(unread, by)
+            rows = rows.select(*[(ref[f.name] if f.name in ref else F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema("ObjectLineage")])
+            self.tables["ObjectLineage"] = self.tables["ObjectLineage"].unionByName(rows)
         self.tables["ResultSets"] = part("ResultSet", "Server string, Database string, Schema string, Object string, Ordinal int, Name string")
         self.tasks["analyze"] = "done"
         return self.tables
@@ -218,8 +235,6 @@ def register(spark: SparkSession) -> None:
 
     class TsqlLineage:
         def eval(self, text: str):
-            from tributary.tsql.model import Catalog
-
             for e in files.entries_of("batch", 1, text):
                 if e.definition:
                     _, rows, _ = analyze(Catalog(files.entries_of("batch", 1, text)), e)

@@ -16,7 +16,7 @@ from tributary.tsql.parser import parse
 
 GO = r"(?im)^[ \t]*GO(?:[ \t]+\d+)?[ \t]*(?:--[^\n]*)?\r?$"
 SERVER = DATABASE = "FILES"
-ENTRY = "server string, database string, schema string, name string, type string, columns string, params array<string>, definition string, target array<string>, parent array<string>, events string"
+ENTRY = "server string, database string, schema string, name string, type string, columns string, params array<string>, definition string, target array<string>, parent array<string>, events string, source string"
 #: Type codes of a server's catalog (fixed values).
 TYPE_CODES = {"U": "Table", "V": "View", "P": "Procedure", "PC": "ClrModule", "FN": "ScalarFunction", "IF": "InlineTvf", "TF": "MsTvf", "FS": "ClrModule", "FT": "ClrModule", "TR": "Trigger", "SN": "Synonym", "SO": "Sequence", "ET": "External", "X": "External"}
 
@@ -65,13 +65,13 @@ def entries_of(file: str, batch: int, text: str, server: str = SERVER, database:
 
 def pack(e: Entry) -> tuple:
     columns = None if e.columns is None else json.dumps([[c.name, c.type, c.identity, c.computed, c.rowversion] for c in e.columns])
-    return (e.server, e.database, e.schema, e.name, e.type, columns, e.params, e.definition, e.target, e.table, e.events)
+    return (e.server, e.database, e.schema, e.name, e.type, columns, e.params, e.definition, e.target, e.table, e.events, e.source)
 
 
 def unpack(r) -> Entry:
     columns = None if r["columns"] is None else [Column(*c) for c in json.loads(r["columns"])]
     lists = lambda v: None if v is None else list(v)
-    return Entry(r["server"], r["database"], r["schema"], r["name"], r["type"], columns, list(r["params"] if r["params"] is not None else []), r["definition"] or "", target=lists(r["target"]), table=lists(r["parent"]), events=r["events"] or "")
+    return Entry(r["server"], r["database"], r["schema"], r["name"], r["type"], columns, list(r["params"] if r["params"] is not None else []), r["definition"] or "", target=lists(r["target"]), table=lists(r["parent"]), events=r["events"] or "", source=r["source"] or "")
 
 
 def entries(batches: DataFrame) -> DataFrame:
@@ -80,8 +80,12 @@ def entries(batches: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = [pack(e) for file, batch, text in zip(f["file"], f["batch"], f["text"], strict=True) for e in entries_of(file, int(batch), text)]
-            yield pd.DataFrame(rows, columns=["server", "database", "schema", "name", "type", "columns", "params", "definition", "target", "parent", "events"])
+            rows = []
+            for file, batch, text in zip(f["file"], f["batch"], f["text"], strict=True):
+                for e in entries_of(file, int(batch), text):
+                    e.source = f"{file}#{int(batch):08d}"
+                    rows.append(pack(e))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
     return batches.mapInPandas(run, ENTRY)
 
@@ -96,7 +100,15 @@ def entries_of_catalog(objects: DataFrame, columns: DataFrame, modules: DataFram
     ps = params.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("parameter_id", "name"))), lambda x: x["name"]).alias("params"))
     out = objects.join(cols, key, "left").join(ps, key, "left").join(modules.select(*key, "definition"), key, "left")
     out = out.join(triggers.select(*key, F.array("parent_schema", "parent_name").alias("parent"), "events"), key, "left").join(synonyms.select(*key, F.split("base_object_name", r"\.").alias("target")), key, "left")
-    return out.select("server", "database", "schema", "name", kind[F.trim("type_code")].alias("type"), "columns", F.coalesce("params", F.array().cast("array<string>")).alias("params"), "definition", "target", "parent", "events")
+    return out.select("server", "database", "schema", "name", kind[F.trim("type_code")].alias("type"), "columns", F.coalesce("params", F.array().cast("array<string>")).alias("params"), "definition", "target", "parent", "events", F.lit("").alias("source"))
+
+
+def entries_of_job_steps(steps: DataFrame) -> DataFrame:
+    """Entries from ``(server, database, job, step_id, command)``; filter steps first."""
+    text = lambda s: F.lit(s)
+    none = {"columns": "string", "target": "array<string>", "parent": "array<string>"}
+    values = {"schema": text("job"), "name": F.concat_ws("#", "job", F.col("step_id").cast("string")), "type": text("JobStep"), "params": F.array().cast("array<string>"), "definition": F.col("command"), "events": text(""), "source": F.concat_ws("#", "job", F.lpad(F.col("step_id").cast("string"), 8, "0"))}
+    return steps.select(*[(values.get(c) if c in values else F.lit(None).cast(none[c]) if c in none else F.col(c)).alias(c) for c in (x.split()[0] for x in ENTRY.split(", "))])
 
 
 def entries_of_tables(spark: SparkSession, tables: dict[str, DataFrame], schema_name: str = "dbo") -> list[Entry]:
