@@ -115,7 +115,7 @@ def test_shared_temps_and_result_sets(spark):
 
 def test_table_function(spark):
     session.register(spark)
-    got = spark.sql("SELECT * FROM tsql_lineage('CREATE VIEW dbo.v AS SELECT a.x FROM dbo.a a')").collect()
+    got = spark.sql("SELECT * FROM tsql_edges('CREATE VIEW dbo.v AS SELECT a.x FROM dbo.a a')").collect()
     assert [(r.SourceColumn, r.TargetColumn) for r in got] == [("x", "x")]
 
 

@@ -230,10 +230,10 @@ def module_key(df: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """``tsql_lineage(text)`` as a table function: column edges of one batch with no catalog."""
+    """``tsql_edges(text)`` as a table function: column edges of one batch with no catalog."""
     from pyspark.sql.functions import udtf
 
-    class TsqlLineage:
+    class ColumnEdges:
         def eval(self, text: str):
             for e in files.entries_of("batch", 1, text):
                 if e.definition:
@@ -241,4 +241,4 @@ def register(spark: SparkSession) -> None:
                     for r in rows["ColumnLineage"]:
                         yield r["SourceObject"], r["SourceColumn"], r["TargetObject"], r["TargetColumn"], r["FlowKind"], r["Confidence"]
 
-    spark.udtf.register("tsql_lineage", udtf(TsqlLineage, returnType="SourceObject string, SourceColumn string, TargetObject string, TargetColumn string, FlowKind string, Confidence string"))
+    spark.udtf.register("tsql_edges", udtf(ColumnEdges, returnType="SourceObject string, SourceColumn string, TargetObject string, TargetColumn string, FlowKind string, Confidence string"))
