@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(name: str | None) -> str:
     """Key of a name: case folded, dotless and dotted I alike."""
     return (name or "").replace("ı", "i").replace("İ", "i").upper()

@@ -79,6 +79,7 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
     columns = adjacency.select(F.col("a_obj").alias("k_obj"), F.col("a_col").alias("k_col")).distinct().withColumn("exact", F.lit(True))
     stars = columns.where("k_col = '*'").select("k_obj", F.lit(True).alias("star"))
     shared = _shared_temps(objects, adjacency) if objects is not None else None
+    plain = (shared is None or shared.isEmpty()) and stars.isEmpty()  # then only the exact column can be found
     owner = ("RunId", "Server", "Database", "ModuleSchema", "ModuleName", "ModuleType")
     start = flow.where(F.col("TargetObjectType").isin(*PERSISTENT)).select(
         *owner,
@@ -93,24 +94,20 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
         F.array(_text("Source"), _text("Target")).alias("path"),
         F.array(F.concat_ws("\x1f", "t_obj", "t_col"), F.concat_ws("\x1f", "s_obj", "s_col")).alias("seen"),
     ).where(F.size(F.array_distinct("seen")) == 2)
-    emitted, frontier = [], materialize(start, "collapse-0")
+    fields = start.columns
+    emitted, frontier = [], start
     for depth in range(1, max_depth + 2):
         walking = F.col("src.SourceObjectType").isin(*TRANSIENT) & (F.col("Hops") <= max_depth)
         emitted.append(frontier.where(~walking))
-        at = frontier.where(walking).withColumn("l_obj", _local_key(F.col("ctx"), F.col("src.SourceObjectType"), F.col("c_obj")))
-        at = at.join(columns, (F.col("l_obj") == F.col("k_obj")) & (F.col("c_col") == F.col("k_col")), "left").drop("k_obj", "k_col")
-        at = at.join(stars, F.col("l_obj") == F.col("k_obj"), "left").drop("k_obj")
-        at = at.withColumn("look_obj", F.when(F.col("exact") | F.col("star"), F.col("l_obj"))).withColumn("look_col", F.when(F.col("exact"), F.col("c_col")).when(F.col("star"), F.lit("*")))
-        if shared is not None:
-            temp = F.col("src.SourceObject").startswith("#") & ~F.col("src.SourceObject").startswith("##") & F.col("look_obj").isNull()
-            at = at.withColumn("temp", F.when(temp, fold_column(F.col("src.SourceObject"))))
-            at = at.join(shared, (F.col("ctx") == F.col("h_mod")) & (F.col("temp") == F.col("h_name")) & (F.col("c_col") == F.col("h_col")), "left")
-            at = at.withColumn("ctx", F.coalesce("h_ctx", "ctx")).withColumn("look_obj", F.coalesce("look_obj", "h_obj")).withColumn("look_col", F.coalesce("look_col", "h_look")).drop("temp", "h_mod", "h_name", "h_col", "h_ctx", "h_obj", "h_look")
-        at = materialize(at.drop("exact", "star", "l_obj"), "looked-up")
-        emitted.append(at.where("look_obj is null").drop("look_obj", "look_col"))
-        step = at.join(adjacency, (F.col("look_obj") == F.col("a_obj")) & (F.col("look_col") == F.col("a_col")))
+        at = frontier.where(walking).withColumn("look_obj", _local_key(F.col("ctx"), F.col("src.SourceObjectType"), F.col("c_obj"))).withColumn("look_col", F.col("c_col"))
+        if not plain:
+            at = _look_up(at, columns, stars, shared)
+        # One join both walks on and finds what leads nowhere.
+        at = at.join(adjacency, (F.col("look_obj") == F.col("a_obj")) & (F.col("look_col") == F.col("a_col")), "left").drop("look_obj", "look_col", "a_obj", "a_col", "a_mod", "a_name")
+        at = materialize(at, f"collapse-{depth}")
+        emitted.append(at.where("a_src is null").select(*fields))
         node = F.concat_ws("\x1f", "a_sobj", "a_scol")
-        step = step.where(~F.array_contains("seen", node)).select(
+        frontier = at.where(F.col("a_src").isNotNull() & ~F.array_contains("seen", node)).select(
             *owner,
             "ctx",
             *("TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn"),
@@ -123,7 +120,6 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
             F.concat(F.array("a_text"), "path").alias("path"),
             F.concat(F.array(node), "seen").alias("seen"),
         )
-        frontier = materialize(step, f"collapse-{depth}")
         if frontier.isEmpty():
             break
     out = _union(emitted).select(*owner, "src.*", "TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn", unrank(F.col("kind"), FLOW_RANK).alias("FlowKind"), "Hops", F.array_join("path", ARROW).alias("Path"), "conf")
@@ -136,6 +132,20 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
     return best
 
 
+def _look_up(at: DataFrame, columns: DataFrame, stars: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Which node's edges to walk: the column's own, else the object's ``*``, else those of a temp that others fill."""
+    at = at.withColumnRenamed("look_obj", "l_obj").drop("look_col")
+    at = at.join(columns, (F.col("l_obj") == F.col("k_obj")) & (F.col("c_col") == F.col("k_col")), "left").drop("k_obj", "k_col")
+    at = at.join(stars, F.col("l_obj") == F.col("k_obj"), "left").drop("k_obj")
+    at = at.withColumn("look_obj", F.when(F.col("exact") | F.col("star"), F.col("l_obj"))).withColumn("look_col", F.when(F.col("exact"), F.col("c_col")).when(F.col("star"), F.lit("*")))
+    if shared is not None:
+        temp = F.col("src.SourceObject").startswith("#") & ~F.col("src.SourceObject").startswith("##") & F.col("look_obj").isNull()
+        at = at.withColumn("temp", F.when(temp, fold_column(F.col("src.SourceObject"))))
+        at = at.join(shared, (F.col("ctx") == F.col("h_mod")) & (F.col("temp") == F.col("h_name")) & (F.col("c_col") == F.col("h_col")), "left")
+        at = at.withColumn("ctx", F.coalesce("h_ctx", "ctx")).withColumn("look_obj", F.coalesce("look_obj", "h_obj")).withColumn("look_col", F.coalesce("look_col", "h_look")).drop("temp", "h_mod", "h_name", "h_col", "h_ctx", "h_obj", "h_look")
+    return at.drop("exact", "star", "l_obj")
+
+
 def call_edges(objects: DataFrame, functions: bool = False) -> DataFrame:
     """Distinct calls ``(caller, callee)`` between module keys."""
     kinds = (*CALLABLE, "ScalarFunction", "InlineTvf", "MsTvf") if functions else CALLABLE

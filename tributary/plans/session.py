@@ -15,7 +15,7 @@ from tributary.names import fold, node_key, parse_address, split_name
 from tributary.operators import closure, tables
 from tributary.schemas import DDL, schema
 from tributary.sources import files
-from tributary.tsql.analyze import DEFAULTS, analyze, created_tables, literal_calls
+from tributary.tsql.analyze import DEFAULTS, analyze, facts
 from tributary.tsql.model import Catalog, Column, Entry
 
 MODULE_TYPES = ("Procedure", "View", "ScalarFunction", "InlineTvf", "MsTvf", "Trigger", "JobStep", "Script", "ClrModule")
@@ -106,23 +106,24 @@ class LineageSession:
                 out = []
                 for r in f.to_dict("records"):
                     e = files.unpack(r)
-                    for callee, p, v in literal_calls(e, None):
+                    calls, made = facts(e)
+                    for callee, p, v in calls:
                         out.append(("arg", e.server, e.database, callee, p, v))
-                    for name, columns in created_tables(e):
+                    for name, columns in made:
                         out.append(("table", e.server, e.database, ".".join(name), None, None if columns is None else json.dumps([[c.name, c.type, c.identity, c.computed] for c in columns])))
                 yield pd.DataFrame(out, columns=["kind", "server", "database", "name", "param", "value"])
 
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES) & F.col("definition").isNotNull())
         rows = _spread(mods).mapInPandas(run, "kind string, server string, database string, name string, param string, value string")
-        facts = rows.distinct().groupBy("kind", "server", "database", "name", "param").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 32).alias("values"), F.count("*").alias("n")).collect()
+        found = rows.distinct().groupBy("kind", "server", "database", "name", "param").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 32).alias("values"), F.count("*").alias("n")).collect()
         self.tasks["prepass"] = "done"
-        return {"facts": [tuple(r) for r in facts]}
+        return {"facts": [tuple(r) for r in found]}
 
     def analyze(self, prepass: dict | None = None) -> dict[str, DataFrame]:
         """Rows of all tables from all modules; modules a previous run answers are taken from there."""
-        facts = (prepass or self.prepass())["facts"]
+        known = (prepass or self.prepass())["facts"]
         catalog_rows, config = self._catalog_rows(), self.config
-        shared = self.spark.sparkContext.broadcast((catalog_rows, facts))
+        shared = self.spark.sparkContext.broadcast((catalog_rows, known))
         settings, patterns, run_id = DEFAULTS | config.settings, config.archive_patterns, config.run_id
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES)).withColumn("DefinitionHash", tables.definition_hash(F.coalesce("definition", F.lit(""))))
         by = ["Server", "Database", "ModuleSchema", "ModuleName"]
