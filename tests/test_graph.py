@@ -109,6 +109,13 @@ def test_shared_temps_and_result_sets(spark):
     reused = again.analyze()
     assert reused["Modules"].where("Reused").count() == t["Modules"].count()
     assert reused["ColumnLineage"].count() == t["ColumnLineage"].count() and reused["ColumnLineage"].where("RunId <> 'r2'").count() == 0
+    changed = session.LineageSession(spark, s.entries, session.Config(run_id="r3", settings={"patterns": 7}), previous={k: t[k] for k in (*session.ROW_TABLES, "Summary")})
+    assert changed.analyze()["Modules"].where("Reused").count() == 0
+    same = session.LineageSession(spark, s.entries, session.Config(run_id="r4"), previous={k: t[k] for k in (*session.ROW_TABLES, "Summary")})
+    assert same.analyze()["Modules"].where("not Reused").count() == 0
+    configured = session.LineageSession(spark, s.entries, session.Config(config_tables={"dbo.load_config.source_table": 5}), data={"dbo.load_config": spark.createDataFrame([("customer",), ("orders",)], "source_table string")})
+    found = configured.analyze()["ColumnLineage"].where("ModuleName = 'dynamic_load' and SourceColumn = 'name'")
+    assert {r.SourceObject for r in found.collect()} == {"customer", "orders"}
     tables.views(spark, t)
     assert spark.sql("SELECT * FROM vw_ColumnEdges").count() == t["Collapsed"].count() and spark.sql("SELECT * FROM vw_Nodes").count() > 0
 

@@ -19,6 +19,7 @@ from tributary.tsql.analyze import DEFAULTS, analyze, facts
 from tributary.tsql.model import Catalog, Column, Entry
 
 MODULE_TYPES = ("Procedure", "View", "ScalarFunction", "InlineTvf", "MsTvf", "Trigger", "JobStep", "Script", "ClrModule")
+VERSION = "1"  # of the analysis; a change re-analyses all modules
 UNREAD = ("Quarantined", "NoDefinition(CLR)", "NoDefinition(Encrypted)", "DefinitionSizeLimit", "Error")
 ROW_TABLES = ("ColumnLineage", "ObjectLineage", "DynamicSql", "Unresolved", "Statements", "Modules")
 
@@ -34,6 +35,7 @@ class Config:
     max_query_rows: int = 500_000
     graph_hops: int = 3
     dedup: bool = True
+    config_tables: dict[str, int] = field(default_factory=dict)  # schema.table.column to how many values to read
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -66,9 +68,10 @@ class LineageSession:
     """A run over catalog entries. The catalog without definitions is small and goes to all tasks; definitions are
     read where they are analysed, but for views and inline functions, whose shapes others need."""
 
-    def __init__(self, spark: SparkSession, entries: DataFrame, config: Config | None = None, deps: DataFrame | None = None, previous: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, entries: DataFrame, config: Config | None = None, deps: DataFrame | None = None, previous: dict[str, DataFrame] | None = None, data: dict[str, DataFrame] | None = None):
         self.spark, self.config, self.deps, self.previous = spark, config or Config(), deps, previous
         self.entries = materialize(entries, "entries")
+        self.data = data or {}  # configuration tables by schema.table
         self.tables: dict[str, DataFrame] = {}
         self.tasks: dict[str, str] = {"prepass": "pending", "analyze": "pending", "merge": "pending"}
 
@@ -119,17 +122,38 @@ class LineageSession:
         self.tasks["prepass"] = "done"
         return {"facts": [tuple(r) for r in found]}
 
+    def signature(self) -> str:
+        """Hash of what module text alone doesn't say: settings, and the shapes of all objects."""
+        c = self.config
+        shapes = self.entries.where("type <> 'Script'").select(F.concat_ws(".", "server", "database", "schema", "name").alias("name"), F.concat_ws("|", "type", "columns", F.when(F.col("type").isin("View", "InlineTvf", "Synonym"), F.concat_ws("|", "definition", F.concat_ws(".", "target")))).alias("shape"))
+        return tables.engine_signature(shapes, VERSION, json.dumps(c.settings, sort_keys=True, default=str), json.dumps(c.archive_patterns))
+
+    def _same_engine(self) -> bool:
+        """Whether the previous run saw the same settings and shapes; a run without a signature is taken at its word."""
+        old = self.previous.get("Summary")
+        signs = [] if old is None else [r[0] for r in old.select("EngineSignature").where("EngineSignature is not null").distinct().limit(2).collect()]
+        return not signs or signs == [self.signature()]
+
+    def _config_values(self) -> dict[str, list[str]]:
+        """Values of the configuration columns that were asked for, for names that come from tables."""
+        out = {}
+        for column, most in self.config.config_tables.items():
+            table, _, name = column.rpartition(".")
+            if table in self.data:
+                out[fold(column)] = files.config_values(self.data[table], name, most)
+        return out
+
     def analyze(self, prepass: dict | None = None) -> dict[str, DataFrame]:
         """Rows of all tables from all modules; modules a previous run answers are taken from there."""
         known = (prepass or self.prepass())["facts"]
         catalog_rows, config = self._catalog_rows(), self.config
         shared = self.spark.sparkContext.broadcast((catalog_rows, known))
-        settings, patterns, run_id = DEFAULTS | config.settings, config.archive_patterns, config.run_id
+        settings, patterns, run_id = DEFAULTS | config.settings | {"config_values": self._config_values()}, config.archive_patterns, config.run_id
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES)).withColumn("DefinitionHash", tables.definition_hash(F.coalesce("definition", F.lit(""))))
         by = ["Server", "Database", "ModuleSchema", "ModuleName"]
         named = mods.withColumnsRenamed({"server": "Server", "database": "Database", "schema": "ModuleSchema", "name": "ModuleName"})
         reused = None
-        if self.previous is not None:
+        if self.previous is not None and self._same_engine():
             reused, named = tables.split_reusable(named, self.previous["Modules"], by)
         todo = named.withColumnsRenamed({"Server": "server", "Database": "database", "ModuleSchema": "schema", "ModuleName": "name"})
 
@@ -188,7 +212,7 @@ class LineageSession:
             missed = t["CatalogDeps"].where("not FoundInAnalysis")
             t["Unresolved"] = t["Unresolved"].unionByName(missed.select(F.lit(c.run_id).alias("RunId"), *by, F.lit(0).alias("StatementNo"), F.lit(0).alias("Line"), F.lit("CatalogDepMissed").alias("Kind"), F.lit("warning").alias("Severity"), F.col("ReferencedName").alias("Name"), F.lit("").alias("Note")))
         who = ["RunId", "Server", "Database"]
-        t["Summary"] = tables.summary(t["Modules"], t["DynamicSql"], t["Unresolved"])
+        t["Summary"] = tables.summary(t["Modules"], t["DynamicSql"], t["Unresolved"]).withColumn("EngineSignature", F.lit(self.signature())).select(*[f.name for f in schema("Summary")])
         t["TopIssues"] = tables.top_issues(t["Unresolved"], [*who, "ModuleSchema", "ModuleName"]).join(t["Modules"].select(*who, "ModuleSchema", "ModuleName", "ParseStatus"), [*who, "ModuleSchema", "ModuleName"], "left")
         t["UnresolvedByKind"] = tables.unresolved_by_kind(t["Unresolved"], who)
         self.tasks["merge"] = "done"
