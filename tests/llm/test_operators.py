@@ -317,9 +317,9 @@ def check_plan(made, counts, capacity):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 100), st.integers(1, 60), max_size=30), st.sampled_from([2, 5, 9]))
-def test_plans_hold_everything_once(counts, groups):
-    made = packing.plan(counts, 100, groups)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 60), max_size=30), st.sampled_from([2, 5, 9]), st.sampled_from([2, 4, 8]))
+def test_plans_hold_everything_once(counts, groups, share):
+    made = packing.plan(counts, 100, groups, share)
     check_plan(made, counts, 100)
     assert made.opened >= -(-sum(k * n for k, n in counts.items()) // 100)
 

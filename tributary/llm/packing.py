@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import materialize, only
 
-CAPACITY, END_ID, GROUPS, LARGE, CACHE = 4096, 1, (8, 32, 64), 8, 250_000
+CAPACITY, END_ID, CACHE = 4096, 1, 250_000
+#: Tried in turn: what share of a sequence makes a length large (one in ...), and how many groups. The best plan counts.
+SHAPES = ((4, 8), (8, 16), (2, 16), (8, 64), (3, 32))
 #: The tokenizer's pattern below U+0250, and its characters for bytes that don't stand for themselves.
 LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^ a-zªµºß-öø-ɏ0-9²³¹¼-¾]+")
 BYTES = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
@@ -249,10 +251,10 @@ class Plan:
         return self.quota[g].get(length, 0)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 16) -> Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 16, share: int = 8) -> Plan:
     """Plan how ``counts`` pieces of each length go into sequences of ``capacity``."""
     out = Plan(counts, capacity)
-    large = sorted((x for x in counts if x * LARGE > capacity and x < capacity), reverse=True)
+    large = sorted((x for x in counts if x * share > capacity and x < capacity), reverse=True)
     total = sum(counts[x] for x in large)
     if total:
         size, quota, held = -(-total // groups), [{}], 0
@@ -281,7 +283,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 16) ->
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    return min((plan(counts, capacity, g) for g in GROUPS), key=lambda p: p.opened)
+    """The plan with fewest sequences; no further is tried once one has no more than the pieces' total needs."""
+    least, best = -(-sum(length * n for length, n in counts.items()) // capacity), None
+    for share, groups in SHAPES:
+        made = plan(counts, capacity, groups, share)
+        if best is None or made.opened < best.opened:
+            best = made
+        if best.opened <= least:
+            break
+    return best
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
