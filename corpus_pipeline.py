@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import langid, packing, pii, simhash
+from tributary.llm import langid, neardup, packing, pii
 from tributary.llm.common import crc_fold, materialize, table
 
 
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document of each group with 5-word shingles alike at Jaccard 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
