@@ -1,0 +1,45 @@
+"""Secret scans: parts link by the gap between them, wherever they stand."""
+
+import random
+import re
+
+import pytest
+
+from tributary.llm import secrets
+
+OPAQUE = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzz3KEY9qQ"
+
+
+def kinds(text):
+    return [k for _, k, _ in secrets.spans(text)[1]]
+
+
+@pytest.mark.parametrize("at", [0, 100, 900, 1000, 1999])
+def test_links_do_not_depend_on_the_place(at):
+    for gap, want in ((1, 2), (1200, 2), (2000, 2), (2001, 0)):
+        text = "." * at + " user=bob" + " " * gap + OPAQUE + " " * 3000
+        assert len(kinds(text)) == want, (at, gap)
+    assert kinds("." * at + " user=bob\n\n" + OPAQUE + " " * 3000) == []
+
+
+def test_long_parts_link():
+    token = "".join(random.Random(1).choices("ghijkmnpqrstuGHJKLM0123456789", k=5000))
+    assert kinds(f"user=bob {token} " + "x " * 2000) == ["identifier", "secret"]
+    assert kinds("x " * 2000 + f"{token} user=bob") == ["secret", "identifier"]
+
+
+def test_links_are_all_pairs_within_reach():
+    rng = random.Random(4)
+    for _ in range(60):
+        bits = [rng.choice(["user=bob", OPAQUE, "https://api.example.com/v1", "0123456789abcdef0", "x" * rng.randrange(1500), "\n\n"]) for _ in range(14)]
+        text = " ".join(bits)
+        strong, every = secrets.spans(text)
+        low = text.lower()
+        # All candidates: those a text linked throughout would report.
+        found = [(m.start(), k, m.end()) for k, p in (("identifier", secrets.IDENTIFIER), ("endpoint", secrets.ENDPOINT)) for m in p.finditer(text)]
+        found += [(m.start(), "secret", m.end()) for m in re.finditer(OPAQUE, text)]
+        parts = strong + found
+        near = lambda p, ks: any(q[1] in ks and max(p[0], q[0]) - min(p[2], q[2]) <= 2000 and "\n" not in text[min(p[2], q[2]) : max(p[0], q[0])] for q in parts)  # noqa: E731, B023
+        ids, keys = ("access", "identifier"), ("assign", "hex", "secret")
+        want = [p for p in found if (p[1] == "secret" and near(p, (*ids, "endpoint"))) or (p[1] == "identifier" and near(p, keys)) or (p[1] == "endpoint" and near(p, ids) and near(p, keys))]
+        assert sorted(every) == sorted(strong + want) and low

@@ -1,10 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base spans: assignments to secret-like names, access identifiers, long hexadecimal strings. Beyond these, weak
-candidates (account names, endpoints, high-entropy strings) are found and joined with all parts by intervals:
-a scope is a paragraph, or a window of one that is longer than ``WINDOW``; windows overlap by half. A weak
-candidate is reported only where complementary parts stand in one scope with it: a high-entropy string needs an
-identifier or endpoint, an identifier needs a secret, an endpoint needs both.
+candidates (account names, endpoints, high-entropy strings) are found and joined with all parts by intervals. A weak
+candidate is reported only where complementary parts stand in its paragraph with at most ``WINDOW`` characters
+between them and it, however long the parts are: a high-entropy string needs an identifier or endpoint, an
+identifier needs a secret, an endpoint needs both.
 
 Null texts count as empty; an empty text has no spans and the digest of the empty string. Repeated rows are
 scanned alike, an empty table gives an empty result, other columns are ignored.
@@ -49,19 +49,31 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def scopes(text: str) -> list[tuple[int, int]]:
-    """Intervals within which parts may belong together, by start."""
-    out, at = [], 0
-    for m in [*re.finditer(r"\n[ \t\r]*\n", text), None]:
-        end = m.start() if m else len(text)
-        lo = at
-        while end - lo > WINDOW:
-            out.append((lo, lo + WINDOW))
-            lo += WINDOW // 2
-        if end > lo:
-            out.append((lo, end))
-        at = m.end() if m else end
-    return out
+def paragraphs(text: str) -> list[int]:
+    """Ends of the paragraphs of a text, in order."""
+    return [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+
+
+class Near:
+    """Answers whether a part of some kinds lies within ``WINDOW`` of a part in its paragraph."""
+
+    def __init__(self, parts: list[tuple[int, str, int]], kinds: tuple[str, ...], ends: list[int]):
+        self.ends = ends
+        self.parts = [p for p in parts if p[1] in kinds]
+        self.starts = [p[0] for p in self.parts]
+        self.reach, most = [], -1  # furthest end of the parts up to here
+        for p in self.parts:
+            self.reach.append(most := max(most, p[2]))
+
+    def __call__(self, part: tuple[int, str, int]) -> bool:
+        start, _, end = part
+        k = bisect.bisect_right(self.ends, start)
+        lo = self.ends[k - 1] if k else 0
+        last = bisect.bisect_right(self.ends, end - 1)
+        hi = self.ends[last] if last < len(self.ends) else math.inf
+        # Parts that start within reach after this one's end, or end within reach before its start.
+        i = bisect.bisect_left(self.starts, min(hi, end + WINDOW + 1)) - 1
+        return i >= 0 and self.reach[i] > lo and self.reach[i] >= start - WINDOW
 
 
 def weak(text: str, low: str, strong: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -78,18 +90,14 @@ def weak(text: str, low: str, strong: list[tuple[int, str, int]]) -> list[tuple[
             i = bisect.bisect_left(busy, (m.end(), -1))
             if not any(e > m.start() for _, e in busy[max(0, i - 3) : i]):
                 found.append((m.start(), "secret", m.end()))
-    # Interval join of scopes and parts, both by start.
-    parts = sorted(strong + found)
-    starts = [p[0] for p in parts]
-    kept = set()
-    for lo, hi in scopes(text):
-        inside = [p for p in parts[bisect.bisect_left(starts, lo) : bisect.bisect_left(starts, hi)] if p[2] <= hi]
-        kinds = {k for _, k, _ in inside}
-        has_id, has_secret = bool(kinds & {"access", "identifier"}), bool(kinds & {"assign", "hex", "secret"})
-        for p in inside:
-            if (p[1] == "secret" and (has_id or "endpoint" in kinds)) or (p[1] == "identifier" and has_secret) or (p[1] == "endpoint" and has_id and has_secret):
-                kept.add(p)
-    return list(kept)
+    # Interval join of parts by start.
+    parts, ends = sorted(strong + found), paragraphs(text)
+    has_id, has_secret, has_endpoint = (Near(parts, kinds, ends) for kinds in (("access", "identifier"), ("assign", "hex", "secret"), ("endpoint",)))
+    kept = []
+    for p in found:
+        if (p[1] == "secret" and (has_id(p) or has_endpoint(p))) or (p[1] == "identifier" and has_secret(p)) or (p[1] == "endpoint" and has_id(p) and has_secret(p)):
+            kept.append(p)
+    return kept
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
