@@ -34,7 +34,7 @@ KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "name")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
-    "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    "card": re.compile(r"(?<![\w.+-])\d+(?:[ -]\d+)*"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
@@ -167,9 +167,26 @@ def surrogate(kind: str, original: str, key: bytes = KEY) -> str:
     return reshape(original, key, "last", _shaped)
 
 
-def _cards(text: str, m: re.Match) -> bool:
-    digits = re.sub(r"\D", "", m.group())
-    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
+def _cards(text: str, run: re.Match) -> list[tuple[int, int]]:
+    """Cards in a run of digit groups: from each group the longest whole groups of 13 to 19 digits with a right check digit."""
+    if run.end() - run.start() < 13:
+        return []
+    groups = [(run.start() + g.start(), run.start() + g.end()) for g in re.finditer(r"\d+", run.group())]
+    open_end = text[run.end() : run.end() + 1] == "-"  # the last group goes on beyond the run
+    out, i = [], 0
+    while i < len(groups):
+        digits, best = "", None
+        for j in range(i, len(groups) - open_end):
+            digits += text[groups[j][0] : groups[j][1]]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn(digits[:-1]) == int(digits[-1]):
+                best = j
+        if best is not None:
+            out.append((groups[i][0], groups[best][1]))
+            i = best
+        i += 1
+    return out
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -180,7 +197,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         kinds.append("email")
     for kind in kinds:
         for m in PATTERNS[kind].finditer(text):
-            if kind == "card" and not _cards(text, m):
+            if kind == "card":
+                found += [(start, -end, KINDS.index(kind), kind) for start, end in _cards(text, m)]
                 continue
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group()) <= 15:
                 continue
