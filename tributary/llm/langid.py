@@ -1,7 +1,8 @@
 """Language identification of whole texts, with spans of mixed-language text.
 
 Script ranges narrow the languages a word can be of; character n-grams score it under each of them; Viterbi
-over the words, with a penalty for each switch, labels spans. A document's language is the one whose spans
+over the words, with a penalty for each switch, labels spans. Words are letters of one script; longer runs, as in
+scripts without blanks, are cut into pieces, of which each is scored. A document's language is the one whose spans
 hold most letters, its score their share of all letters.
 
 The model is learnt from labelled rows: at most ``SAMPLE`` documents of all languages together, chosen by a
@@ -30,8 +31,6 @@ from pyspark.sql.functions import pandas_udf
 from tributary.llm.common import map_columns, only
 
 SAMPLE, FEATURES, ORDERS, SWITCH, CACHE, WORDS = 4_000, 100_000, 3, 6.0, 200_000, 300_000
-WORD = re.compile(r"[^\W\d_]+")
-
 #: First and last code point of the scripts told apart (fixed values of the Unicode blocks).
 SCRIPTS = {
     "latin": [(0x0041, 0x024F), (0x1E00, 0x1EFF)],
@@ -51,6 +50,29 @@ SCRIPTS = {
 }
 
 
+#: Letters a piece has at most; fewer where words stand without blanks.
+PIECE, PIECES = 40, {"han": 8, "kana": 8, "thai": 8}
+
+
+def _pattern() -> re.Pattern:
+    """Runs of letters of one script, cut into pieces."""
+    named, every = [], ""
+    for name, ranges in SCRIPTS.items():
+        inside = "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi))}" for a, b in ranges for lo, hi in _letters(a, b))
+        every += inside
+        named.append(f"[{inside}]{{1,{PIECES.get(name, PIECE)}}}")
+    return re.compile("(?=[^\\W\\d_])(?:" + "|".join(named) + f"|(?:(?![{every}])[^\\W\\d_]){{1,{PIECE}}})")
+
+
+def _letters(first: int, last: int) -> list[tuple[int, int]]:
+    """Runs of letters among the code points from ``first`` to ``last``."""
+    runs = re.finditer(r"[^\W\d_]+", "".join(map(chr, range(first, last + 1))))
+    return [(first + m.start(), first + m.end() - 1) for m in runs]
+
+
+WORD = _pattern()
+
+
 def script(word: str) -> str:
     if word[0].isascii():
         return "latin"
@@ -62,8 +84,8 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Letters, pairs and triples of a word with its ends marked; a long word counts by its first 40 letters."""
-    w = f"^{word[:40]}$"
+    """Letters, pairs and triples of a word with its ends marked."""
+    w = f"^{word}$"
     return [*w[1:-1], *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]
 
 
