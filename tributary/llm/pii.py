@@ -31,6 +31,24 @@ from tributary.llm.common import map_columns
 
 KEY = b"tributary"
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "name")
+
+#: Scripts with capitals in which names are looked for: Latin, Greek, Cyrillic, Armenian.
+CASED = [(0x0041, 0x058F), (0x1C80, 0x1C8F), (0x1E00, 0x1FFF)]
+TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof"
+
+
+def _names() -> re.Pattern:
+    """A first and a last name, or a title and either or both; capitals, apostrophes and hyphens may stand within."""
+    points = [chr(p) for lo, hi in CASED for p in range(lo, hi + 1)]
+    upper = "[" + "".join(c for c in points if c.isupper() or c.istitle()) + "]"
+    lower = "[" + "".join(c for c in points if c.islower() and c.isalpha()) + "]"
+    letter = r"[^\W\d_]"
+    bit = f"{upper}(?:{letter}+|(?=['’]{upper}))"
+    word = f"(?=[^\\W\\d_'’-]*(?:['’-]{upper}[^\\W\\d_]*)*?(?<={lower})){bit}(?:['’-]{upper}{letter}*)*"
+    titles = f"(?:{TITLES})"
+    return re.compile(rf"(?<!\w)(?:(?P<title>{titles})\.? (?:{titles}\.? )*)?(?!{titles}(?!\w))(?P<first>{word})(?!\w)(?(title)(?: (?P<tail>{word})(?!\w))?| (?P<last>{word})(?!\w))")
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
@@ -38,7 +56,7 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
-    "name": re.compile(r"(?<!\w)(?:(?P<title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof)\.? )?(?P<first>[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+)(?P<gap> )(?P<last>[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+)(?!\w)"),
+    "name": _names(),
 }
 #: Fixed lists: first names by gender and script, at least as many as make them hard to guess back.
 FIRST = {
@@ -49,7 +67,8 @@ FIRST = {
 }
 GENDER = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f"}
 LISTED = {name: group for group, names in FIRST.items() for name in names}
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñßýÿ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
+CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñßýÿ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ",
+           "āăąēĕėęěĩīĭįōŏőœũūŭůűų", "ćĉċčďđĝğġģĥħĵķĺļľŀłńņňŋŕŗřśŝşšţťŧŵŷźżžșț", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ", "ёіїєѐѝў", "ґђѓјљњћќџ", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ")
 CLASS_OF = {c: k for k, cs in enumerate(CLASSES) for c in cs}
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 RESERVED = re.compile(r"(^|\.)(example\.(com|net|org)|invalid|test|localhost)$")
@@ -206,7 +225,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     at = 0
     while m := PATTERNS["name"].search(text, at):
         at = m.end("first")  # the next word may begin a name itself
-        if m["first"] in LISTED or m["title"]:
+        if m["title"] or any(n in LISTED for n in m["first"].split("-")):
             start = m.start("first")
             found.append((start, -m.end(), KINDS.index("name"), "name"))
             at = m.end()
@@ -228,8 +247,10 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]
     for start, end, kind in entities:
         value = text[start:end]
         if kind == "name":
-            first, last = value.split(" ", 1)
-            new = f"{surrogate('first', first, key) if first in LISTED else surrogate('last', first, key)} {surrogate('last', last, key)}"
+            first, _, last = value.rpartition(" ")  # a surname alone has no first name
+            new = surrogate("last", last, key)
+            if first:
+                new = f"{surrogate('first' if first in LISTED else 'last', first, key)} {new}"
             bearers[last] = surrogate("last", last, key)
         else:
             new = surrogate(kind, value, key)
