@@ -16,7 +16,7 @@ from tributary.llm.common import materialize, release
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges ``(src, dst)`` of longs to ``(node, component)``; component is the smallest node reachable.
 
-    Nodes without an edge to another node are left out. Null ends and self-loops link nothing.
+    Raises if the stars still change after ``max_rounds``. Nodes without an edge to another node are left out. Null ends and self-loops link nothing.
     """
     big, small = F.greatest("src", "dst"), F.least("src", "dst")
     e = edges.where("src is not null and dst is not null and src <> dst").select(big.alias("a"), small.alias("b")).distinct()
@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e, before, seen = new, seen, _digest(new)
         if seen == before:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
