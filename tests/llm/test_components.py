@@ -1,13 +1,14 @@
-"""Components are whole or an error, never unfinished stars."""
+"""Components are whole, however many rounds they take."""
 
-import pytest
+import random
 
 from tributary.llm import components
 
 
-def test_rounds_run_out(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
-    with pytest.raises(RuntimeError):
-        components.connected_components(edges, max_rounds=1)
-    assert {c for _, c in components.connected_components(edges).collect()} == {0}
-    assert components.connected_components(edges.limit(0), max_rounds=1).count() == 0
+def test_long_paths_are_whole(spark):
+    nodes = list(range(300))
+    random.Random(1).shuffle(nodes)
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "src long, dst long")
+    got = components.connected_components(edges).collect()
+    assert len(got) == 299 and {c for _, c in got} == {0}  # the smallest node stands for itself
+    assert components.connected_components(edges.limit(0)).count() == 0

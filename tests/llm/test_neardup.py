@@ -16,10 +16,10 @@ def brute(texts):
         return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
 
     sets = [own(t) for t in texts]
-    near = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    near = [[j for j, y in enumerate(sets) if x == y or 5 * len(x & y) >= 4 * len(x | y)] for x in sets]
     label = list(range(len(texts)))
     for _ in texts:
-        label = [min(label[j] for j in range(len(texts)) if near(sets[i], sets[j])) for i in range(len(texts))]
+        label = [min(label[j] for j in near[i]) for i in range(len(texts))]
     return label
 
 
@@ -63,3 +63,28 @@ def test_stage_takes_five_words_and_similarity(spark):
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_groups_form_few_pairs(spark, monkeypatch):
+    """Near copies of one text, two texts that share a passage, and a bridge between two groups."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    base, other, passage = ([rng.choice(words) for _ in range(n)] for n in (150, 150, 60))
+    texts = []
+    for source in (base, other):
+        for _ in range(60):
+            copy = list(source)
+            copy[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(rng.choice(words) for _ in range(12))]) for _ in range(40)]
+    drift = list(base)
+    for i in range(12):  # each like the one before, the last unlike the first
+        drift[i * 12] = f"d{i}"
+        texts.append(" ".join(drift))
+    looked = []
+    inner = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, rows: looked.append(pairs.count()) or inner(pairs, rows))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(neardup.near_duplicates(docs).collect())
+    assert got == dict(enumerate(brute(texts)))
+    assert sum(looked) < 8 * len(texts)  # all pairs of the groups would be over 3,600

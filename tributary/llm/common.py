@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; unset, a folder of our own on one machine, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -38,13 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tributary_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        path = getattr(df, "_tributary_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]], rows: int = 2000) -> DataFrame:

@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from tributary.llm.common import materialize, release
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges ``(src, dst)`` of longs to ``(node, component)``; component is the smallest node reachable.
 
-    Raises if the stars still change after ``max_rounds``. Nodes without an edge to another node are left out. Null ends and self-loops link nothing.
+    Rounds go on until a round changes nothing; there is no bound on them. The smallest node of a component is not listed, nor are nodes without an edge to another. Null ends and self-loops link nothing.
     """
     big, small = F.greatest("src", "dst"), F.least("src", "dst")
     e = edges.where("src is not null and dst is not null and src <> dst").select(big.alias("a"), small.alias("b")).distinct()
     e = materialize(e, "edges")
     seen = _digest(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -36,9 +34,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e, before, seen = new, seen, _digest(new)
         if seen == before:
             break
-    else:
-        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._tributary_path = e._tributary_path  # type: ignore[attr-defined]  # for release
+    return out
 
 
 def _digest(e: DataFrame) -> tuple:

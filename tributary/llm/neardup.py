@@ -1,16 +1,21 @@
-"""Near-duplicates by exact Jaccard similarity of 5-word shingles, 0.8 or more.
+"""Near-duplicates by Jaccard similarity of 5-word shingles, 0.8 or more: SimHash proposes, sets decide, a join completes.
 
-A set-similarity join with prefix filtering: under any one order of all shingles, two sets with similarity 0.8 or
-more share one of the first ``n - ceil(0.8 n) + 1`` shingles of either. These prefixes meet in an equi-join;
-sizes and the positions met at bound what a pair can share, and pairs that stay are verified on whole sets.
-So every pair is found, and none below the threshold. Shingles are compared by 64-bit digests (XXH64, seed 42).
+1. SimHash (``simhash.links``, multi-index hashing) proposes pairs of fingerprints that differ in few bits. Each is
+   verified on whole sets. This unites most copies of one text at a cost linear in their number.
+2. Fingerprints alone miss pairs near 0.8, which differ in about ten of 64 bits. So sets are also joined with
+   prefix filtering: under any one order of all shingles, two sets with similarity 0.8 or more share one of the first
+   ``n - ceil(0.8 n) + 1`` shingles of either. First all who hold a prefix shingle are paired with its smallest holder,
+   then, where holders are still in different components, with each other. Pairs within one component are never
+   formed; sizes and the positions met at bound what a pair can share; pairs that stay are verified on whole sets.
 
-The order puts common shingles last, so prefixes meet at rare ones. Counts come from about ``SAMPLE`` documents;
-they decide how many candidates there are, never which pairs are found. Documents with one set of shingles are
-collapsed before the search and rejoined after it. A group of k different near copies gives k * (k - 1) / 2 pairs.
+So components are exact: every pair across components was looked at, and none below the threshold links. Shingles are
+compared by 64-bit digests (XXH64, seed 42). The order puts common shingles last, so prefixes meet at rare ones.
+Counts come from about ``SAMPLE`` documents; they decide how many candidates there are, never which pairs are found.
+Documents with one set of shingles are collapsed before the search and rejoined after it.
 
 Fewer than five words are one shingle; null texts and texts without a word have the empty set and are alike. Rows
-with equal doc_id count as one document; documents without a doc_id are left out of the search.
+with equal doc_id count as one document; documents without a doc_id are left out of the search. An empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import map_columns, materialize
+from tributary.llm import simhash
+from tributary.llm.common import map_columns, materialize, release
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import LOWER, SEED, WORD
 
-SHINGLE, SAMPLE, COMMON = 5, 20_000, 1_000_000
+SHINGLE, SAMPLE, COMMON = 5, 8_000, 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -66,23 +72,65 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
 
 
-def links(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs ``(src, dst)`` of doc_ids of ``sets`` (doc_id, n, prefix) with similarity 0.8 or more; ``rows`` has texts."""
-    entries = sets.select("doc_id", "n", F.posexplode("prefix").alias("at", "h"))
-    a = entries.select("h", F.col("doc_id").alias("src"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = entries.select("h", F.col("doc_id").alias("dst"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # At the first shingle a pair shares, it can share no more than what is left of either; 9 * shared >= 4 * (na + nb).
-    met = a.join(b, "h").where("src < dst and 5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)")
-    pairs = materialize(met.select("src", "dst").distinct(), "candidates")
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts. ``pairs`` is written too."""
 
     def make():
         return lambda ids, texts: {"doc_id": ids, "own": [shingles(t) for t in texts]}
 
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    whole = materialize(map_columns(rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "doc_id long, own array<long>", make, rows=500), "sets")
+    sets = map_columns(rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "doc_id long, own array<long>", make, rows=500)
+    # One set for each document, whichever of rows with one doc_id it is: candidates took the same.
+    whole = materialize(sets, "sets")
     x, y = whole.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), whole.select(F.col("doc_id").alias("dst"), F.col("own").alias("y"))
     both = pairs.join(x, "src").join(y, "dst")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct()
+    out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct(), "links")
+    release(whole)
+    return out
+
+
+def proposed(firsts: DataFrame) -> DataFrame:
+    """Pairs ``(src, dst)`` that connect documents with fingerprints ``fp`` up to ``simhash.BITS`` apart."""
+    heads = firsts.groupBy("fp").agg(F.min("doc_id").alias("head"))
+    alike = firsts.join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
+    near = simhash.links(heads.select("fp")).join(heads.select(F.col("fp").alias("fp_a"), F.col("head").alias("a")), "fp_a").join(heads.select(F.col("fp").alias("fp_b"), F.col("head").alias("b")), "fp_b")
+    return alike.unionByName(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+
+
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``entries`` (h, at, doc_id, n) whose shingle ``h`` two components of ``found`` hold, with the component and the smallest holder."""
+    comp = connected_components(found)
+    own = entries.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "at", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("doc_id", "n", "at", "comp")).alias("head")).where("lo <> hi")
+    out = materialize(own.join(mixed.select("h", "head"), "h"), "mixed")
+    release(comp)
+    return out
+
+
+#: What a pair can still share where it meets first suffices: 9 * shared >= 4 * (na + nb).
+_FITS = "compa <> compb and 5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least(na - ata, nb - atb) >= 4 * (na + nb)"
+
+
+def links(firsts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` that connect all documents of ``firsts`` (doc_id, n, fp, prefix) with similarity 0.8 or more."""
+    pairs = materialize(proposed(firsts).distinct(), "proposed")
+    close = verified(pairs, rows)
+    release(pairs)
+    entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n")
+    shared = entries.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    entries = materialize(entries.join(shared, "h"), "shared")
+    mixed = _mixed(entries, close)
+    side = lambda x, to, of: [F.col(of + "doc_id").alias(to), *[F.col(of + c).alias(c + x) for c in ("n", "at", "comp")]]
+    met = mixed.select(*side("a", "src", "head."), *side("b", "dst", "")).where(_FITS).select("src", "dst").distinct()
+    stars = materialize(met, "stars")
+    star_links = verified(stars, rows)
+    again = _mixed(mixed.drop("comp", "head"), close.unionByName(star_links))
+    cross = again.select("h", *side("a", "src", "")).join(again.select("h", *side("b", "dst", "")), "h").where(f"src < dst and {_FITS}")
+    pairs = materialize(cross.select("src", "dst").distinct().join(stars, ["src", "dst"], "left_anti"), "candidates")
+    last = verified(pairs, rows)
+    out = materialize(close.unionByName(star_links).unionByName(last), "all-links")
+    release(entries, mixed, again, stars, pairs, close, star_links, last)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -95,16 +143,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         def run(ids, texts):
             owns = [shingles(t) for t in texts]
-            return {"doc_id": ids, "n": [len(o) for o in owns], "digest": [hashlib.blake2b(o.tobytes(), digest_size=16).digest() for o in owns], "prefix": [prefix(o, common, rank) for o in owns]}
+            return {"doc_id": ids, "n": [len(o) for o in owns], "digest": [hashlib.blake2b(o.tobytes(), digest_size=16).digest() for o in owns], "fp": [simhash.signed(simhash.majority(o)) for o in owns], "prefix": [prefix(o, common, rank) for o in owns]}
 
         return run
 
-    sets = materialize(map_columns(rows, "doc_id long, n long, digest binary, prefix array<long>", make, rows=500), "prefixes")
+    sets = materialize(map_columns(rows, "doc_id long, n long, digest binary, fp long, prefix array<long>", make, rows=500), "prefixes")
     classes = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = sets.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    comp = connected_components(links(firsts, rows)).withColumnRenamed("node", "rep")
-    member = classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return sets.select("doc_id", "digest").join(member, "digest").select("doc_id", "component_id")
+    firsts = materialize(sets.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "n", "fp", "prefix"), "firsts")
+    found = links(firsts, rows)
+    comp = connected_components(found)
+    member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = materialize(sets.select("doc_id", "digest").join(member, "digest").select("doc_id", "component_id"), "near-duplicates")
+    release(sets, classes, firsts, found, comp)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import map_columns, materialize
+from tributary.llm.common import map_columns, materialize, release
 from tributary.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -44,20 +44,28 @@ def fingerprint(text: str | None) -> int:
     else:
         grams = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], ">u8")
-    ones = np.zeros(64, np.int64)
+    return majority(np.array([digest(g, SEED) for g in grams], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are those set in over half of 64-bit ``hashes``."""
+    hashes, ones = hashes.astype(hashes.dtype.newbyteorder(">")), np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory on very long texts
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def signed(fp: int) -> int:
+    """The signed long with the bits of an unsigned one."""
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long with the same bits."""
 
     def make():
         def run(ids, texts):
-            fps = [fingerprint(t) for t in texts]
-            return {"doc_id": ids, "fp": [f - (1 << 64) if f >> 63 else f for f in fps]}
+            return {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]}
 
         return run
 
@@ -88,7 +96,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keys = crowd.select("fp", F.explode(whole).alias("key"))
     stars = keys.groupBy("key").agg(F.min("fp").alias("fp_a"), F.collect_set("fp").alias("all"))  # at most 65 a key
     more = stars.where(F.size("all") > 1).select("fp_a", F.explode("all").alias("fp_b")).where("fp_a <> fp_b")
-    return met.unionByName(more).distinct()
+    out = materialize(met.unionByName(more).distinct(), "links")
+    release(shared)
+    return out
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -100,12 +110,13 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps = materialize(fingerprints(docs), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
-    found = materialize(links(classes.select("fp"), bucket), "links")
+    found = links(classes.select("fp"), bucket)
     a = classes.select(F.col("fp").alias("fp_a"), F.col("rep").alias("src"))
     b = classes.select(F.col("fp").alias("fp_b"), F.col("rep").alias("dst"))
     edges = found.join(a, "fp_a").join(b, "fp_b").select("src", "dst")
-    comp = connected_components(edges).withColumnRenamed("node", "rep")
-    member = classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    comp = connected_components(edges)
+    release(found)
+    member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
