@@ -1,13 +1,13 @@
 """Language identification of whole texts, with spans of mixed-language text.
 
 Script ranges narrow the languages a word can be of; character n-grams score it under each of them; Viterbi
-over the words, with a penalty for each switch, labels spans. Words are letters of one script; longer runs, as in
-scripts without blanks, are cut into pieces, of which each is scored. A document's language is the one whose spans
-hold most letters, its score their share of all letters.
+over the words, with a penalty for each switch, labels spans. Words are letters of one script with the marks that
+combine with them (vowel signs, accents); longer runs, as in scripts without blanks, are cut into pieces, of which
+each is scored. A document's language is the one whose spans hold most letters, its score their share of all letters.
 
-The model is learnt from labelled rows: at most ``SAMPLE`` documents of all languages together, chosen by a
-hash of doc_id, whole texts, and the ``FEATURES`` most frequent n-grams of them. Both bounds are parameters.
-Predictions read the text only.
+The model is learnt from labelled rows: the ``SAMPLE`` documents of all languages together whose doc_id has the
+smallest hash, whole texts, and of each language its most frequent n-grams, ``FEATURES`` for all languages together.
+Both bounds are parameters. Rows without doc_id teach nothing. Predictions read the text only.
 
 Null texts and texts without a letter give ``und`` and score 0; a text whose letters are all in scripts no
 learnt language uses gives the most frequent learnt language with score 0; with nothing learnt, ``und``.
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -54,20 +55,39 @@ SCRIPTS = {
 PIECE, PIECES = 40, {"han": 8, "kana": 8, "thai": 8}
 
 
+#: Marks that combine with letters of any script, and joiners.
+ACCENTS = "\u0300-\u036f\u200c\u200d"
+
+
 def _pattern() -> re.Pattern:
-    """Runs of letters of one script, cut into pieces."""
+    """Runs of letters of one script and their marks, cut into pieces that begin with a letter and end before one."""
     named, every = [], ""
     for name, ranges in SCRIPTS.items():
-        inside = "".join(f"{re.escape(chr(lo))}-{re.escape(chr(hi))}" for a, b in ranges for lo, hi in _letters(a, b))
-        every += inside
-        named.append(f"[{inside}]{{1,{PIECES.get(name, PIECE)}}}")
-    return re.compile("(?=[^\\W\\d_])(?:" + "|".join(named) + f"|(?:(?![{every}])[^\\W\\d_]){{1,{PIECE}}})")
+        letters = _ranges(ranges, lambda c: c.isalpha() or re.match(r"[^\W\d_]", c))
+        marks = _ranges(ranges, _is_mark) + ACCENTS
+        every += letters
+        named.append(f"[{letters}][{letters}{marks}]{{0,{PIECES.get(name, PIECE) - 1}}}[{marks}]*+")
+    other = f"(?:(?![{every}])[^\\W\\d_])"
+    return re.compile("|".join(named) + f"|{other}(?:{other}|[{ACCENTS}]){{0,{PIECE - 1}}}")
+
+
+def _is_mark(c: str) -> bool:
+    return unicodedata.category(c).startswith("M")
 
 
-def _letters(first: int, last: int) -> list[tuple[int, int]]:
-    """Runs of letters among the code points from ``first`` to ``last``."""
-    runs = re.finditer(r"[^\W\d_]+", "".join(map(chr, range(first, last + 1))))
-    return [(first + m.start(), first + m.end() - 1) for m in runs]
+def _ranges(ranges: list[tuple[int, int]], holds) -> str:
+    """The code points of ``ranges`` for which ``holds``, as a regular expression's class."""
+    out = ""
+    for first, last in ranges:
+        start = None
+        for p in range(first, last + 2):
+            inside = p <= last and holds(chr(p))
+            if inside and start is None:
+                start = p
+            elif not inside and start is not None:
+                out += f"{re.escape(chr(start))}-{re.escape(chr(p - 1))}"
+                start = None
+    return out
 
 
 WORD = _pattern()
@@ -90,7 +110,11 @@ def grams(word: str) -> list[str]:
 
 
 def letters_of(token: str) -> str:
-    return token if token.isalpha() else "".join(c for c in token if c.isalpha())
+    """The letters and marks of a token; nothing if it has no letter."""
+    if token.isalpha():
+        return token
+    kept = "".join(c for c in token if c.isalpha() or _is_mark(c))
+    return kept if any(map(str.isalpha, kept)) else ""
 
 
 @dataclass
@@ -150,11 +174,16 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit on the rows of ``docs`` with text and lang; see the module's bounds."""
-    rows = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = rows.count()
-    share = min(1.0, 0.95 * sample / max(total, 1))
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(sample)
-    got = counts(picked).orderBy(F.col("kind") == "gram", F.desc("n"), "lang", "item").limit(features).collect()
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("id is not null and lang is not null")
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h"), F.count("*")).first()  # ids alone are read
+    picked = rows.where(F.col("h") <= F.lit(cut[0]))
+    if cut[1] == sample and (held := picked.count()) > 2 * sample:  # one id on many rows
+        picked = picked.where(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(held)) < sample)
+    picked = picked.where("text is not null")
+    each = max(1, features // max(1, picked.select("lang").distinct().count()))
+    ranked = counts(picked).withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
+    got = ranked.where((F.col("kind") != "gram") | (F.col("r") <= each)).orderBy("lang", "kind", "r").collect()  # at most `features` n-grams
     docs_of = {r.lang: r.n for r in got if r.kind == "doc"}
     langs = sorted(docs_of)
     at = {x: i for i, x in enumerate(langs)}
@@ -172,7 +201,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Mo
     rows = [np.log((v + 0.5) / (totals[len(g)] + 0.5 * 1e4)) for g, v in table.items()]
     # An n-gram nobody has seen tells nothing; one value for all languages.
     rows.append(np.full(len(langs), float(np.log(0.5 / (totals.max() + 5e3))) if langs else 0.0))
-    default = max(langs, key=lambda x: (docs_of[x], x), default="und")
+    default = min(langs, key=lambda x: (-docs_of[x], x), default="und")
     return Model(langs, default, Index((g, i) for i, g in enumerate(table)), np.array(rows, np.float32), scripts)
 
 
@@ -238,7 +267,7 @@ class Labeller:
             if some and model.langs:
                 rows[some] = model.words([words[i] for i in some])
             self.matrix = np.concatenate([self.matrix, rows])
-            self.size = np.concatenate([self.size, np.array([len(w) for w in words], np.int32)])
+            self.size = np.concatenate([self.size, np.array([sum(map(str.isalpha, w)) for w in words], np.int32)])
             self.known = np.concatenate([self.known, np.array([bool(w) and script(w) in model.scripts for w in words], bool)])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
