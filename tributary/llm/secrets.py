@@ -1,10 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base spans: assignments to secret-like names, access identifiers, long hexadecimal strings. Beyond these, weak
-candidates (account names, endpoints, high-entropy strings) are found and joined with all parts by intervals. A weak
-candidate is reported only where complementary parts stand in its paragraph with at most ``WINDOW`` characters
-between them and it, however long the parts are: a high-entropy string needs an identifier or endpoint, an
-identifier needs a secret, an endpoint needs both.
+candidates (account names, endpoints, high-entropy strings) are found, and all parts are joined with the scopes whose
+interval holds them. Scopes are paragraphs, whatever their length. A weak candidate is reported only where
+complementary parts stand in its scope: a high-entropy string needs an identifier or endpoint, an identifier needs a
+secret, an endpoint needs both. High-entropy strings that overlap another part are that part, not one of their own.
 
 Null texts count as empty; an empty text has no spans and the digest of the empty string. Repeated rows are
 scanned alike, an empty table gives an empty result, other columns are ignored.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -31,7 +32,7 @@ IDENTIFIER = re.compile(r"""(?:client_?id|access_?key_?id|user(?:name)?|login|ac
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+")
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
-WINDOW, ENTROPY = 2000, 3.5
+ENTROPY = 3.5
 
 
 def base(text: str, low: str) -> list[tuple[int, str, int]]:
@@ -54,28 +55,6 @@ def paragraphs(text: str) -> list[int]:
     return [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
 
 
-class Near:
-    """Answers whether a part of some kinds lies within ``WINDOW`` of a part in its paragraph."""
-
-    def __init__(self, parts: list[tuple[int, str, int]], kinds: tuple[str, ...], ends: list[int]):
-        self.ends = ends
-        self.parts = [p for p in parts if p[1] in kinds]
-        self.starts = [p[0] for p in self.parts]
-        self.reach, most = [], -1  # furthest end of the parts up to here
-        for p in self.parts:
-            self.reach.append(most := max(most, p[2]))
-
-    def __call__(self, part: tuple[int, str, int]) -> bool:
-        start, _, end = part
-        k = bisect.bisect_right(self.ends, start)
-        lo = self.ends[k - 1] if k else 0
-        last = bisect.bisect_right(self.ends, end - 1)
-        hi = self.ends[last] if last < len(self.ends) else math.inf
-        # Parts that start within reach after this one's end, or end within reach before its start.
-        i = bisect.bisect_left(self.starts, min(hi, end + WINDOW + 1)) - 1
-        return i >= 0 and self.reach[i] > lo and self.reach[i] >= start - WINDOW
-
-
 def weak(text: str, low: str, strong: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Weak candidates that complementary parts support."""
     found = [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
@@ -84,20 +63,19 @@ def weak(text: str, low: str, strong: list[tuple[int, str, int]]) -> list[tuple[
     if not found and not any(k == "access" for _, k, _ in strong):
         return []
     busy = sorted((s, e) for s, _, e in strong + found)
+    reach = list(itertools.accumulate((e for _, e in busy), max))  # furthest end of the parts up to each
     for m in OPAQUE.finditer(text):
         s = m.group()
         if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= ENTROPY:
             i = bisect.bisect_left(busy, (m.end(), -1))
-            if not any(e > m.start() for _, e in busy[max(0, i - 3) : i]):
+            if not i or reach[i - 1] <= m.start():
                 found.append((m.start(), "secret", m.end()))
-    # Interval join of parts by start.
-    parts, ends = sorted(strong + found), paragraphs(text)
-    has_id, has_secret, has_endpoint = (Near(parts, kinds, ends) for kinds in (("access", "identifier"), ("assign", "hex", "secret"), ("endpoint",)))
-    kept = []
-    for p in found:
-        if (p[1] == "secret" and (has_id(p) or has_endpoint(p))) or (p[1] == "identifier" and has_secret(p)) or (p[1] == "endpoint" and has_id(p) and has_secret(p)):
-            kept.append(p)
-    return kept
+    # Interval join of parts with scopes: a part holds no blank line, so it lies in the scope it starts in.
+    ends = paragraphs(text)
+    scope = lambda p: bisect.bisect_right(ends, p[0])
+    has_id, has_secret, has_endpoint = ({scope(p) for p in strong + found if p[1] in kinds} for kinds in (("access", "identifier"), ("assign", "hex", "secret"), ("endpoint",)))
+    needs = {"secret": has_id | has_endpoint, "identifier": has_secret, "endpoint": has_id & has_secret}
+    return [p for p in found if scope(p) in needs[p[1]]]
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
