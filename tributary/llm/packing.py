@@ -304,7 +304,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     runs = np.array(sorted(made.runs), np.int64).reshape(-1, 5)
     shared = docs.sparkSession.sparkContext.broadcast(runs)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
+    # Offsets grow with tasks and lengths: pieces, a few bytes each, go to them, they are never broadcast.
+    starts = by_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")).hint("merge")
     ranked = cut.join(starts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
