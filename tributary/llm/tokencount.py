@@ -1,18 +1,21 @@
 """Token counts that follow edits.
 
 A document's pre-tokens (what the tokenizer's pattern cuts) are kept in blocks, with a segment tree over them
-whose nodes sum characters and tokens. An edit descends to the block it falls in, is widened to the last
+whose nodes sum characters and tokens. ``trees`` makes these once and stores them as a column; ``edit`` takes the
+stored trees with edits and returns the next ones, so a later edit never encodes the whole document. An edit descends to the block it falls in, is widened to the last
 pre-token boundary the pattern couldn't have looked beyond, and is cut anew until the cuts fall on an old
 boundary again: from there on the old pre-tokens hold. Only what lies between is encoded; block sums and the
 path to the root are updated.
 
 An edit is ``(start, end, text)``: code points ``start`` to ``end`` of the document as it then is are replaced;
-ends beyond the text are taken back to its end. Null texts count as empty and may be edited. Repeated rows are
-counted alike, an empty table gives an empty result, other columns are ignored.
+ends beyond the text are taken back to its end, null parts of it are 0, 0 and no text. Null texts count as empty and
+may be edited. Repeated rows are counted alike, an empty table gives an empty result, other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -82,6 +85,26 @@ class Tree:
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i], self.sums[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.sums[2 * i] + self.sums[2 * i + 1]
 
+    def state(self) -> dict[str, bytes]:
+        """The tree as unsigned 32-bit numbers: pre-tokens of each block, their characters and tokens, and both sums of each node."""
+        flat = lambda parts: array("I", (x for p in parts for x in p)).tobytes()
+        return {"blocks": array("I", map(len, self.sizes)).tobytes(), "sizes": flat(self.sizes), "counts": flat(self.counts), "chars": array("I", self.chars).tobytes(), "sums": array("I", self.sums).tobytes()}
+
+    @classmethod
+    def of(cls, text: str, state: dict[str, bytes], own: Counter) -> Tree:
+        """A stored tree with its text; nothing is encoded."""
+        out = cls.__new__(cls)
+        out.text, out.own, out.encoded = text, own, 0
+        read = {k: array("I", bytes(v)).tolist() for k, v in state.items()}
+        out.sizes, out.counts, at = [], [], 0
+        for n in read["blocks"]:
+            out.sizes.append(read["sizes"][at : at + n])
+            out.counts.append(read["counts"][at : at + n])
+            at += n
+        out.chars, out.sums = read["chars"], read["sums"]
+        out.leaves = len(out.chars) // 2
+        return out
+
     @property
     def n_tokens(self) -> int:
         return self.sums[1]
@@ -165,30 +188,65 @@ def sample_edits(text: str | None) -> list[tuple[int, int, str]]:
     return [(n // 2, n // 2 + 5, "[edited]"), (n // 3, n // 3, "  \n new"), (2 * n // 3, 2 * n // 3 + 10, "")]
 
 
-def follow(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_chars_edited, n_chars_encoded)`` for every row.
+TREE = "struct<blocks:binary,sizes:binary,counts:binary,chars:binary,sums:binary>"
+EDITS = "array<struct<start:int,end:int,text:string>>"
+
+
+def _rows(docs: DataFrame, *more) -> tuple[DataFrame, str]:
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+
+
+def trees(docs: DataFrame, ranks: str | None = None, edits: str | None = None) -> DataFrame:
+    """``(doc_id, text, tree, n_tokens, n_pretokens)`` for every row of ``docs (doc_id, text)``; a column ``edits`` passes through as ``edits``."""
+
+    def make():
+        own = counter(ranks)
+
+        def run(ids, texts, *more):
+            made = [Tree(t, own) for t in texts]
+            out = {"doc_id": ids, "text": texts, "tree": [t.state() for t in made], "n_tokens": [t.n_tokens for t in made], "n_pretokens": [t.n_pretokens for t in made]}
+            return out | {"edits": more[0]} if more else out
+
+        return run
+
+    rows, key = _rows(docs, *([F.col(edits).cast(EDITS).alias("edits")] if edits else []))
+    return map_columns(rows, f"{key}, text string, tree {TREE}, n_tokens long, n_pretokens long" + (f", edits {EDITS}" if edits else ""), make, 500)
+
+
+def edit(stored: DataFrame, edits: str | None = None, ranks: str | None = None) -> DataFrame:
+    """The trees of ``stored`` (as ``trees`` or ``edit`` gives them) after their edits: the same columns, and
+    ``(n_edits, n_tokens_before, n_pretokens_before, n_chars, n_chars_encoded)``.
 
-    ``docs`` has ``doc_id`` and ``text``, and may have ``edits``, an array of ``(start, end, text)``; without it
-    each text gets ``sample_edits``. ``n_chars_encoded`` says how many characters the edits had encoded anew.
+    ``edits`` names a column of arrays of ``(start, end, text)``; without it each text gets ``sample_edits``.
+    ``n_chars_encoded`` says how many characters the edits had encoded anew.
     """
-    given = "edits" in docs.columns and docs.schema["edits"].dataType.typeName() == "array"
 
     def make():
         own = counter(ranks)
 
-        def run(ids, texts, edits):
-            out: dict = {k: [] for k in ("n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_chars_encoded")}
-            for t, e in zip(texts, edits, strict=True):
-                todo = [(x["start"], x["end"], x["text"] or "") for x in e or ()] if given else sample_edits(t)
-                tree = Tree(t or "", own)
+        def run(ids, texts, states, todo):
+            out: dict = {k: [] for k in ("text", "tree", "n_tokens", "n_pretokens", "n_edits", "n_tokens_before", "n_pretokens_before", "n_chars", "n_chars_encoded")}
+            for text, state, given in zip(texts, states, todo, strict=True):
+                changes = sample_edits(text) if edits is None else [(x["start"] or 0, x["end"] or 0, x["text"] or "") for x in given or () if x]
+                tree = Tree.of(text, state, own)
                 before, cuts = tree.n_tokens, tree.n_pretokens
-                for x in todo:
+                for x in changes:
                     tree.edit(*x)
-                for k, v in zip(out, (before, cuts, len(todo), tree.n_tokens, len(tree.text), tree.encoded), strict=True):
+                for k, v in zip(out, (tree.text, tree.state(), tree.n_tokens, tree.n_pretokens, len(changes), before, cuts, len(tree.text), tree.encoded), strict=True):
                     out[k].append(v)
             return {"doc_id": ids, **out}
 
         return run
 
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits") if given else F.lit(None).cast("int").alias("edits"))
-    return map_columns(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_pretokens long, n_edits int, n_tokens_edited long, n_chars_edited long, n_chars_encoded long", make, 500)
+    given = F.lit(None).cast("int") if edits is None else F.col(edits).cast(EDITS)
+    rows, key = _rows(stored, "tree", given.alias("edits"))
+    return map_columns(rows, f"{key}, text string, tree {TREE}, n_tokens long, n_pretokens long, n_edits int, n_tokens_before long, n_pretokens_before long, n_chars long, n_chars_encoded long", make, 500)
+
+
+def follow(docs: DataFrame, edits: str | None = None, ranks: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_chars_edited, n_chars_encoded)`` for every row:
+    counts of the trees of ``docs`` before, and after ``edits`` (see ``edit``)."""
+    made = trees(docs, ranks) if edits is None else trees(docs, ranks, edits)
+    out = edit(made, edits and "edits", ranks)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_pretokens_before").alias("n_pretokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "n_chars_encoded")
