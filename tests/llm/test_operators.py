@@ -142,22 +142,51 @@ def brute_links(x, cosine):
     return n, label
 
 
-@pytest.mark.parametrize(("block", "cells"), [(2048, 256), (40, 8)])
+@pytest.mark.parametrize(("block", "cells"), [(8192, 256), (40, 8), (40, 1)])
 def test_cover_tree(spark, block, cells):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(1, 8)) + rng.normal(size=(80, 8)) * 0.08, rng.normal(size=(1, 8)) + rng.normal(size=(60, 8)) * 0.3]).astype(np.float32)
     x = np.concatenate([x, x[:5], x[:3] * 2])
     rows = [(int(i), [float(v) for v in r], 7, 1) for i, r in enumerate(x)]
+    rows += [(None, [float(v) for v in x[0]], 7, 1), (None, None, 7, 1)]
     rows += [(1000, None, 7, 1), (1001, [0.0] * 8, 7, 1), (1002, [float("nan")] * 8, 7, 1), (1003, [None, 1.0], 7, 1), (1004, [1.0, 0.0], 7, 1), (1005, [1.0, 0.0], 7, 1), (1006, [], 7, 1)]
-    got = {r.vec_id: r for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int, cell int"), block=block, cells=cells).collect()}
-    n, label = brute_links(x.astype(float), 0.95)
-    assert len(got) == len(rows)
+    found = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int, cell int"), block=block, cells=cells).collect()
+    assert len(found) == len(rows) and sorted(r.kept for r in found if r.vec_id is None) == [False, True]
+    got = {r.vec_id: r for r in found if r.vec_id is not None}
+    n, label = brute_links(np.concatenate([x, x[:1]]).astype(float), 0.95)
+    n, label = n[:-1], label[:-1]
     assert [got[i].n_links for i in range(len(x))] == n.tolist()
     assert [got[i].component_id for i in range(len(x))] == label.tolist()
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (1000, 1001, 1002, 1003, 1006))
     assert (got[1005].n_links, got[1005].component_id, got[1005].kept) == (1, 1004, False)
 
 
+def test_cover_tree_on_many(spark):
+    """20,000 vectors in clusters of several widths, scaled; compared with all pairs, in blocks."""
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(150, 24))
+    x = heads[rng.integers(0, 150, 20_000)] + rng.normal(size=(20_000, 24)) * rng.choice([0.02, 0.12, 0.25, 0.6], 20_000)[:, None]
+    x[:2000] = heads[0] * rng.uniform(0.1, 9, 2000)[:, None]  # equal directions
+    x = x * 10.0 ** rng.integers(-3, 4, 20_000)[:, None]
+    unit = covertree.unit(x, 24)
+    n = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.95).sum(1) - 1 for i in range(0, 20_000, 1000)])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = covertree.near_duplicates(df, block=2048).toPandas().sort_values("vec_id")
+    # Pairs within the rounding of a cosine may fall either way.
+    close = np.concatenate([(np.abs(unit[i : i + 1000] @ unit.T - 0.95) < 1e-12).sum(1) for i in range(0, 20_000, 1000)])
+    assert (np.abs(got.n_links.to_numpy() - n) <= close).all()
+    near = [np.flatnonzero(row) for i in range(0, 20_000, 1000) for row in unit[i : i + 1000] @ unit.T >= 0.95]
+    label, starts, every = np.arange(20_000), np.cumsum([0, *map(len, near)])[:-1], np.concatenate(near)
+    while (new := np.minimum.reduceat(label[every], starts)).sum() < label.sum():
+        label = new
+    assert (got.component_id.to_numpy() == label).all()
+
+
+def test_cover_tree_of_equal_directions():
+    x = covertree.unit((np.random.default_rng(2).normal(size=(1, 64)) * np.random.default_rng(3).uniform(0.1, 9, (300, 1))).tolist(), 64)
+    assert (covertree.search(x, np.ones(300, np.int64), covertree.tree(x), None, 1 - 1e-12).links == 299).all()
+
+
 def test_cover_tree_empty(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

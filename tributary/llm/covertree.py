@@ -5,13 +5,17 @@ what two subtrees can hold. Equal vectors are collapsed first and rejoined last.
 
 Over the whole table the top of the tree is a set of cells around at most ``CELLS`` centres, taken by farthest
 first from a bounded sample; a cell's covering radius and size come from all its vectors. Cells are dealt into
-blocks of about ``BLOCK`` vectors, each of which gets a cover tree (levels of halving radii) once. Blocks of cells
-whose covering radii leave a partner possible meet in pairs, one task each; their trees are traversed together: node pairs further apart than their radii and the threshold allow are pruned, node pairs wholly within
-the threshold are counted as a whole and united without looking at their members, the rest is opened; single
-vectors are compared by cosine in double precision. Tasks return link counts and one edge per vector, never pairs.
-
-Where vectors have no structure at all (independent directions in many dimensions) no metric tree prunes much:
-pairs of blocks, and copies of blocks sent to them, then grow with the square of their number.
+blocks of at most about ``BLOCK`` vectors, each of which gets a cover tree (levels of halving radii) once. Blocks of
+cells whose covering radii leave a partner possible meet in pairs, one task each; their trees are traversed together:
+node pairs further apart than their radii and the threshold allow are pruned, node pairs wholly within the threshold
+are counted as a whole and united without looking at their members, the rest is opened; single vectors are compared
+by cosine in double precision (those that single precision can't rule out). Tasks return link counts and one edge per
+vector, never pairs.
+
+Where cells overlap so much that their blocks would be sent to more partners than blocks without regard to cells,
+the latter are taken: few and large, so copies of vectors stay few. Vectors without structure (independent directions
+in many dimensions) are such: no metric tree prunes much between them, and comparisons grow with the square of their
+number, copies with the square over ``BLOCK``.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of unlike
 dimension don't link. Repeated rows link with each other; an empty table gives an empty result; other columns are
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 from tributary.llm.common import materialize
 from tributary.llm.components import connected_components
 
-COSINE, BLOCK, CELLS, SAMPLE, LEAF = 0.95, 2048, 256, 4096, 16
-SLACK = 1e-9  # on bounds only; decisions on single pairs are by cosine
+COSINE, BLOCK, CELLS, SAMPLE, LEAF, SPREAD, CHUNK = 0.95, 8192, 256, 4096, 16, 6, 1 << 22
+SLACK = 2e-7  # on bounds only, over the rounding of distances; decisions on single pairs are by cosine
+SINGLE = 1e-5  # over the rounding of cosines in single precision
 
 
 class Node:
@@ -59,19 +64,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def build(vectors: np.ndarray, points: np.ndarray, away: np.ndarray) -> Node:
     """Tree over ``points``, the first of which is the centre; ``away`` are their distances to it."""
     node = Node(points, float(away.max()))
-    if len(points) <= LEAF or node.radius == 0.0:
+    if len(points) <= LEAF or node.radius <= SLACK:  # equal but for rounding
         return node
     x = vectors[points]
     half, free = node.radius / 2, np.ones(len(points), bool)
-    close = x @ x.T >= 1 - half * half / 2  # within half the radius
-    near, singles = close.sum(1), []
+    least = 1 - half * half / 2  # cosine at half the radius
+    step = max(1, CHUNK // len(x))
+    near, singles = np.concatenate([(x[i : i + step] @ x.T >= least).sum(1) for i in range(0, len(x), step)]), []
     for c in range(len(points)):
         if not free[c]:
             continue
         if near[c] == 1:
             singles.append(points[c])
             continue
-        mine = np.flatnonzero(free & close[c])
+        mine = np.flatnonzero(free & (x @ x[c] >= least))
         free[mine] = False
         mine = np.concatenate([[c], mine[mine != c]])
         if len(mine) == 1:
@@ -87,6 +93,7 @@ class Dual:
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, cosine: float):
         self.vectors, self.weights, self.cosine = vectors, weights, cosine
+        self.single = vectors.astype(np.float32)
         self.reach = math.sqrt(2 - 2 * cosine)
         self.links = np.zeros(len(vectors), np.int64)
         self.parent = np.arange(len(vectors))
@@ -120,17 +127,22 @@ class Dual:
         """Compare single points by cosine."""
         if not len(a) or not len(b):
             return
-        close = self.vectors[a] @ self.vectors[b].T >= self.cosine
-        self.compared += close.size
-        i, j = np.nonzero(close)
-        if same:
-            i, j = i[i < j], j[i < j]
-        if len(i):
-            a, b = a[i], b[j]
-            np.add.at(self.links, a, self.weights[b])
-            np.add.at(self.links, b, self.weights[a])
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                self.unite(x, y)
+        self.compared += len(a) * len(b)
+        step = max(1, CHUNK // len(b))
+        for lo in range(0, len(a), step):
+            part = a[lo : lo + step]
+            i, j = np.nonzero(self.single[part] @ self.single[b].T >= self.cosine - SINGLE)
+            if same:  # a is b
+                i, j = i[i + lo < j], j[i + lo < j]
+            if not len(i):
+                continue
+            x, y = part[i], b[j]
+            sure = np.einsum("ij,ij->i", self.vectors[x], self.vectors[y]) >= self.cosine
+            x, y = x[sure], y[sure]
+            np.add.at(self.links, x, self.weights[y])
+            np.add.at(self.links, y, self.weights[x])
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                self.unite(p, q)
 
     def points(self, some: np.ndarray, node: Node) -> None:
         """Single points against a node."""
@@ -213,12 +225,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     # A class of rows without vec_id can't be told from others by it; a key of its own stands for it.
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("key"), "rep", "n", "embedding", F.size("embedding").alias("dim")), "vectors")
-    found = [_links(classes.where(F.col("dim") == d.dim), d.dim, d.n, cosine, block, cells, sample) for d in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()]
-    if not found:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    dims = classes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()  # at most rows / block
+    large = [d.dim for d in dims]
+    links = _small_links(classes.where(~F.col("dim").isin(large)) if large else classes, cosine)
+    for d in dims:
+        links = links.unionByName(_links(classes.where(F.col("dim") == d.dim), d.dim, d.n, cosine, block, cells, sample))
     links = materialize(links, "vector-links")
     counted = links.groupBy("key").agg(F.sum("n_links").alias("found"))
     component = connected_components(links.select(F.col("key").alias("src"), F.col("head").alias("dst")))
@@ -227,7 +238,23 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     member = joined.join(least, "component").join(counted, "key", "left").select("embedding", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.where("embedding is not null").join(member, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _found(dual: Dual, keys: np.ndarray) -> pa.Table:
+    hit = np.flatnonzero(dual.links)
+    roots = np.array([dual.root(i) for i in hit], np.int64)
+    return pa.table({"key": pa.array(keys[hit]), "n_links": pa.array(dual.links[hit]), "head": pa.array(keys[roots])})
+
+
+def _small_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """As ``_links``, for dimensions with one block of vectors each: one tree, traversed with itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vectors = unit(table["embedding"].to_pylist(), table["dim"][0].as_py())
+        return _found(search(vectors, table["n"].to_numpy(), tree(vectors), None, cosine), table["key"].to_numpy())
+
+    return classes.select("dim", "key", "n", "embedding").groupBy("dim").applyInArrow(run, "key long, n_links long, head long")
 
 
 def _links(classes: DataFrame, dim: int, total: int, cosine: float, block: int, cells: int, sample: int) -> DataFrame:
@@ -253,15 +280,20 @@ def _links(classes: DataFrame, dim: int, total: int, cosine: float, block: int,
     first = np.concatenate([[0], np.cumsum(blocks)])
     # Cells whose covering radii leave room for a partner meet, block by block.
     near = distances(pivots, pivots) <= radius[:, None] + radius[None, :] + reach + SLACK
+    plain = max(-(-total // block), min(SPREAD, -(-total // 1024)))  # blocks without regard to cells
+    sent = sum(cell[c].size * int(blocks[near[c]].sum()) for c in cell)
+    by_cell = sent < plain * total
+    if not by_cell:
+        blocks, first, near = np.array([plain]), np.array([0, plain]), np.ones((1, 1), bool)
     layout = spark.broadcast((blocks, first, near))
     code = "<f4" if "float" in kind else "<f8"
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, base, _ = layout.value
         for b in batches:
-            home, key = b.column(3).to_numpy(), b.column(0).to_numpy()
+            home, key = b.column(3).to_numpy() if by_cell else np.zeros(b.num_rows, np.int32), b.column(0).to_numpy()
             salt = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many[home]
-            yield pa.RecordBatch.from_arrays([pa.array(base[home] + salt), b.column(3), *b.columns[:3]], names=["block", "cell", "key", "n", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(base[home] + salt), pa.array(home), *b.columns[:3]], names=["block", "cell", "key", "n", "embedding"])
 
     def plant(table: pa.Table) -> pa.Table:
         """One row for a block: its vectors, their tree, and the blocks it meets."""
@@ -280,9 +312,7 @@ def _links(classes: DataFrame, dim: int, total: int, cosine: float, block: int,
         vectors = np.concatenate([unit(np.frombuffer(r["vectors"], code), dim) for r in rows])
         trees = [pickle.loads(r["tree"]) for r in rows]
         dual = search(vectors, weights, trees[0], trees[1].moved(len(trees[0].points)) if len(rows) > 1 else None, cosine)
-        hit = np.flatnonzero(dual.links)
-        roots = np.array([dual.root(i) for i in hit], np.int64)
-        return pa.table({"key": pa.array(keys[hit]), "n_links": pa.array(dual.links[hit]), "head": pa.array(keys[roots])})
+        return _found(dual, keys)
 
     placed = dealt.mapInArrow(block_of, f"block long, cell int, key long, n long, embedding {kind}")
     grown = placed.groupBy("block").applyInArrow(plant, "block long, x array<long>, y array<long>, keys binary, weights binary, vectors binary, tree binary")
