@@ -2,9 +2,12 @@
 
 ``store`` wraps a payload as the elementary stream of one program: a program association table, a program map
 table, and elementary packets of up to ``FRAME`` blocks, each with a time stamp and beginning at a random-access
-point; tables are repeated before every such point. ``read`` trusts nothing of that: it finds sync bytes, parses
-the tables and checks their checksums, follows the elementary stream's packets and their continuity counters,
-reassembles elementary packets and lists time stamps with their random-access points.
+point; tables are repeated before every such point. ``read`` trusts nothing of that: it checks sync bytes, puts
+sections together from as many packets as they take, checks their checksums, follows one program's elementary stream
+(the first, or the one asked for), drops the duplicate packets that the standard allows, counts breaks of continuity
+counters, reassembles elementary packets and lists time stamps with their random-access points. Elementary packets
+that a break or a wrong length damages are counted; what is left of them is kept. ``features`` stores time stamps and
+random-access points (packet numbers) as array columns.
 
 A payload is a text's UTF-8 with bytes 255 up to a positive multiple of ``BLOCK``; null texts count as empty
 (one block of 255). Equal texts give equal streams; repeated rows are stored each by itself; an empty table
@@ -107,20 +110,52 @@ class Stream:
     frames: list[tuple[int | None, int, bool]] = field(default_factory=list)
     packets: int = 0
     counter_errors: int = 0
+    duplicates: int = 0
+    damaged: int = 0
+    programs: dict[int, int] = field(default_factory=dict)  # program number to the place of its table
 
     @property
     def feature(self) -> str:
         stamps = [t for t, _, _ in self.frames if t is not None]
         first, last = (stamps[0], stamps[-1]) if stamps else (-1, -1)
-        return f"pid={self.pid};type={self.kind};packets={self.packets};pes={len(self.frames)};pts={first}-{last};rap={sum(r for _, _, r in self.frames)};cc_errors={self.counter_errors}"
+        return f"pid={self.pid};type={self.kind};packets={self.packets};pes={len(self.frames)};pts={first}-{last};rap={sum(r for _, _, r in self.frames)};cc_errors={self.counter_errors};damaged={self.damaged}"
 
 
-def _checked(body: bytes, table: int) -> bytes:
-    section = body[1 + body[0] :]
-    end = 3 + ((section[1] & 0x0F) << 8 | section[2])
-    if section[0] != table or crc_mpeg(section[:end]):
+def _checked(section: bytes, table: int) -> bytes:
+    if section[0] != table or crc_mpeg(section):
         raise ValueError("damaged program table")
-    return section[8 : end - 4]
+    return section[8:-4]
+
+
+class _Sections:
+    """Sections of one packet identifier, put together from the packets that carry them."""
+
+    def __init__(self):
+        self.held = b""
+
+    def feed(self, body: bytes, start: bool) -> list[bytes]:
+        out = []
+        if start:
+            ahead, body = body[1 : 1 + body[0]], body[1 + body[0] :]
+            if self.held:
+                self.held += ahead
+                out += self._whole()
+            self.held = body
+        elif self.held:
+            self.held += body
+        return out + self._whole()
+
+    def _whole(self) -> list[bytes]:
+        out = []
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            end = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < end:
+                return out
+            out.append(self.held[:end])
+            self.held = self.held[end:]
+        if self.held[:1] == b"\xff":  # stuffing up to the packet's end
+            self.held = b""
+        return out
 
 
 def _elementary(pes: bytes) -> tuple[int | None, bytes]:
@@ -134,17 +169,22 @@ def _elementary(pes: bytes) -> tuple[int | None, bytes]:
     return t, pes[9 + more : 6 + size if size else None]
 
 
-def read(media: bytes) -> Stream:
-    """Parse a transport stream with one program."""
+def read(media: bytes, program: int | None = None) -> Stream:
+    """Parse a transport stream: the elementary stream of ``program``, or of the first one listed."""
     if len(media) % PACKET or not media:
         raise ValueError("not a whole number of packets")
-    out, pmt, last, data = Stream(packets=len(media) // PACKET), -1, {}, []
+    out, pmt, data = Stream(packets=len(media) // PACKET), -1, []
+    last: dict[int, tuple[int, bytes]] = {}
+    sections: dict[int, _Sections] = {}
     parts: list[bytes] = []
-    began = (0, False)
+    began, broken = (0, False), False
 
     def close() -> None:
         if parts:
-            t, body = _elementary(b"".join(parts))
+            pes = b"".join(parts)
+            t, body = _elementary(pes)
+            size = pes[4] << 8 | pes[5]
+            out.damaged += broken or bool(size) and len(pes) != 6 + size
             data.append(body)
             out.frames.append((t, *began))
             parts.clear()
@@ -153,28 +193,40 @@ def read(media: bytes) -> Stream:
         p = media[k * PACKET : (k + 1) * PACKET]
         if p[0] != 0x47:
             raise ValueError("lost sync")
-        pid, start, control = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] & 0x30
-        at, access = 4, False
+        pid, start, control = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), p[3] & 0x30
+        at, access, jump = 4, False, False
         if control & 0x20:
-            access = p[4] > 0 and bool(p[5] & 0x40)
+            access, jump = p[4] > 0 and bool(p[5] & 0x40), p[4] > 0 and bool(p[5] & 0x80)
             at += 1 + p[4]
-        if not control & 0x10:
+        if not control & 0x10 or pid == 0x1FFF:
             continue
-        if pid in last and (last[pid] + 1) & 15 != p[3] & 15:
-            out.counter_errors += 1
-        last[pid] = p[3] & 15
-        if pid == 0 and start:
-            programs = _checked(p[at:], 0)
-            pmt = next((programs[i + 2] & 0x1F) << 8 | programs[i + 3] for i in range(0, len(programs), 4) if programs[i] or programs[i + 1])
-        elif pid == pmt and start:
-            body = _checked(p[at:], 2)
-            i = 4 + ((body[2] & 0x0F) << 8 | body[3])
-            out.kind, out.pid = body[i], (body[i + 1] & 0x1F) << 8 | body[i + 2]
+        count, body = p[3] & 15, p[at:]
+        if pid in last and not jump:
+            if last[pid] == (count, body):  # sent twice
+                out.duplicates += 1
+                continue
+            if (last[pid][0] + 1) & 15 != count:
+                out.counter_errors += 1
+                broken = broken or pid == out.pid
+        last[pid] = count, body
+        if pid == 0 or pid == pmt:
+            for section in sections.setdefault(pid, _Sections()).feed(body, start):
+                if pid == 0:
+                    listed = _checked(section, 0)
+                    out.programs |= {n: (listed[i + 2] & 0x1F) << 8 | listed[i + 3] for i in range(0, len(listed), 4) if (n := listed[i] << 8 | listed[i + 1])}
+                    if not out.programs or program is not None and program not in out.programs:
+                        raise ValueError("no such program")
+                    pmt = out.programs[program] if program is not None else next(iter(out.programs.values()))
+                elif section[0] == 2:
+                    streams = _checked(section, 2)
+                    i = 4 + ((streams[2] & 0x0F) << 8 | streams[3])
+                    out.kind, out.pid = streams[i], (streams[i + 1] & 0x1F) << 8 | streams[i + 2]
         elif pid == out.pid:
             if start:
                 close()
-                began = (k, access)
-            parts.append(p[at:])
+                broken, began = False, (k, access)
+            if start or parts:
+                parts.append(body)
     close()
     out.data = b"".join(data)
     return out
@@ -199,14 +251,14 @@ def features(stored: DataFrame) -> DataFrame:
 
     def make():
         def run(ids, sizes, streams):
-            out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "access_points")}
             for m in streams:
                 s = read(m)
-                for k, v in (("payload_bytes", len(s.data)), ("payload_sha256", hashlib.sha256(s.data).hexdigest()), ("tail_crc32", zlib.crc32(s.data[-32:])), ("media_bytes", len(m)), ("media_sha256", hashlib.sha256(m).hexdigest()), ("feature", s.feature)):
+                for k, v in (("payload_bytes", len(s.data)), ("payload_sha256", hashlib.sha256(s.data).hexdigest()), ("tail_crc32", zlib.crc32(s.data[-32:])), ("media_bytes", len(m)), ("media_sha256", hashlib.sha256(m).hexdigest()), ("feature", s.feature), ("stamps", [t for t, _, _ in s.frames]), ("access_points", [k for _, k, r in s.frames if r])):
                     out[k].append(v)
             return {"doc_id": ids, "n_bytes": sizes, **out}
 
         return run
 
     rows = stored.select("doc_id", "n_bytes", "media")
-    return map_columns(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make, 500)
+    return map_columns(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, access_points array<long>", make, 500)
