@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument("results", help="what run wrote")
         c.add_argument("node", help="[database.]schema.object[.column]")
         if name == "query":
-            c.add_argument("--direction", choices=("upstream", "downstream"), default="upstream")
+            c.add_argument("--direction", choices=("upstream", "downstream", "both"), default="upstream")
         else:
             c.add_argument("--format", choices=("dot", "graphml", "json"), default="dot")
             c.add_argument("--columns", action="store_true")

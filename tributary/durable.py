@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where the session has none."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own on one machine, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -21,4 +23,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: later plans start from files, whichever executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/tributary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tributary_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in frames:
+        path = getattr(df, "_tributary_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

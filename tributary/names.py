@@ -57,7 +57,11 @@ def canonical_database(name: str, patterns: list[str]) -> str:
 
 
 def parse_address(text: str, databases: set[str]) -> dict[str, str | None]:
-    """A node address of two to five parts: ``[server.][db.]schema.object[.column]``."""
+    """A node address of two to five parts: ``[server.][db.]schema.object[.column]``.
+
+    Four parts begin with a server if the second is a known database and the first isn't. Three parts are
+    ``db.schema.object``, unless databases are known and the first part is none: then ``schema.object.column``.
+    """
     p = split_name(text)
     known = {fold(d) for d in databases}
     keys = ("server", "database", "schema", "object", "column")
@@ -66,7 +70,7 @@ def parse_address(text: str, databases: set[str]) -> dict[str, str | None]:
     elif len(p) == 4:
         vals = [*p, None] if fold(p[1]) in known and fold(p[0]) not in known else [None, *p]
     elif len(p) == 3:
-        vals = [None, *p, None] if fold(p[0]) in known else [None, None, *p]
+        vals = [None, *p, None] if fold(p[0]) in known or not known else [None, None, *p]
     elif len(p) == 2:
         vals = [None, None, *p, None]
     else:

@@ -12,12 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.durable import materialize
+from tributary.durable import materialize, release
 from tributary.names import fold_column, node_key
 from tributary.schemas import CALLABLE, CONFIDENCE_RANK, EFFECT_TYPES, EFFECTS, FLOW_RANK, LOCAL, PATH_RANK, PERSISTENT, TRANSIENT, rank, unrank
 
 MODULE_KEY = ("Server", "Database", "ModuleSchema", "ModuleName")
 ARROW = " → "
+WIDE = 200_000  # paths in a round beyond which alike ones are merged
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -37,13 +38,17 @@ def _local_key(module: Column, type_: Column, key: Column) -> Column:
     return F.when(type_.isin(*LOCAL), F.concat_ws("\x1e", module, key)).otherwise(key)
 
 
-def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: DataFrame | None = None, max_depth: int = 32, budget: int = 5000) -> DataFrame:
+def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: DataFrame | None = None, max_depth: int = 32, budget: int = 5000, wide: int = WIDE) -> DataFrame:
     """Paths from persistent sources to persistent targets through temps, views, functions and procedures.
 
     ``edges`` is ColumnLineage. ``objects`` (ObjectLineage) gives the calls along which a ``#temp`` that a module
     doesn't fill is looked for in its callees, then its callers. ``result_sets (ObjectKey.., Ordinal, Name)``
     turns positions of a procedure's first result set into names. The strongest kind and the worst confidence of
-    a path hold for it; of several paths with one kind, the shortest, then first in order, is kept.
+    a path hold for it; of several paths with one kind, the shortest, then first in order, is kept. A start edge
+    emits ``budget`` rows at most, the shortest paths first.
+
+    Paths can be many more than rows. Once a round holds more than ``wide`` of them, only the least path is kept for
+    each start edge, node and kind where the node lies on no cycle: from there on all of them continue alike.
     """
     flow = edges.where(F.col("FlowKind") != "Indirect")
     module = node_key(*[F.col(c) for c in MODULE_KEY])
@@ -64,6 +69,7 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
     adjacency = materialize(
         flow.where(F.col("TargetObjectType").isin(*TRANSIENT)).select(
             _local_key(F.col("mod"), F.col("TargetObjectType"), F.col("t_obj")).alias("a_obj"),
+            F.col("t_obj").alias("a_tobj"),
             F.col("t_col").alias("a_col"),
             F.col("mod").alias("a_mod"),
             fold_column(F.col("TargetObject")).alias("a_name"),
@@ -79,12 +85,15 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
     columns = adjacency.select(F.col("a_obj").alias("k_obj"), F.col("a_col").alias("k_col")).distinct().withColumn("exact", F.lit(True))
     stars = columns.where("k_col = '*'").select("k_obj", F.lit(True).alias("star"))
     shared = _shared_temps(objects, adjacency) if objects is not None else None
-    plain = (shared is None or shared.isEmpty()) and stars.isEmpty()  # then only the exact column can be found
+    if shared is not None and shared.isEmpty():
+        shared = None
+    plain = shared is None and stars.isEmpty()  # then only the exact column can be found
     owner = ("RunId", "Server", "Database", "ModuleSchema", "ModuleName", "ModuleType")
+    target = ("TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn")
     start = flow.where(F.col("TargetObjectType").isin(*PERSISTENT)).select(
         *owner,
         F.col("mod").alias("ctx"),
-        *("TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn"),
+        *target,
         source.alias("src"),
         F.col("s_obj").alias("c_obj"),
         F.col("s_col").alias("c_col"),
@@ -93,24 +102,28 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
         F.lit(1).alias("Hops"),
         F.array(_text("Source"), _text("Target")).alias("path"),
         F.array(F.concat_ws("\x1f", "t_obj", "t_col"), F.concat_ws("\x1f", "s_obj", "s_col")).alias("seen"),
-    ).where(F.size(F.array_distinct("seen")) == 2)
+    )
+    start = start.where(F.size(F.array_distinct("seen")) == 2).distinct().withColumn("sid", F.monotonically_increasing_id())
     fields = start.columns
-    emitted, frontier = [], start
+    frontier, emitted, cyclic, rounds = materialize(start, "collapse-0"), [], None, []
+    state = ["sid", "ctx", "c_obj", "c_col", "kind"]
     for depth in range(1, max_depth + 2):
+        rounds.append(frontier)
         walking = F.col("src.SourceObjectType").isin(*TRANSIENT) & (F.col("Hops") <= max_depth)
         emitted.append(frontier.where(~walking))
         at = frontier.where(walking).withColumn("look_obj", _local_key(F.col("ctx"), F.col("src.SourceObjectType"), F.col("c_obj"))).withColumn("look_col", F.col("c_col"))
         if not plain:
             at = _look_up(at, columns, stars, shared)
         # One join both walks on and finds what leads nowhere.
-        at = at.join(adjacency, (F.col("look_obj") == F.col("a_obj")) & (F.col("look_col") == F.col("a_col")), "left").drop("look_obj", "look_col", "a_obj", "a_col", "a_mod", "a_name")
+        at = at.join(adjacency.drop("a_tobj"), (F.col("look_obj") == F.col("a_obj")) & (F.col("look_col") == F.col("a_col")), "left").drop("look_obj", "look_col", "a_obj", "a_col", "a_mod", "a_name")
         at = materialize(at, f"collapse-{depth}")
+        rounds.append(at)
         emitted.append(at.where("a_src is null").select(*fields))
         node = F.concat_ws("\x1f", "a_sobj", "a_scol")
         frontier = at.where(F.col("a_src").isNotNull() & ~F.array_contains("seen", node)).select(
             *owner,
             "ctx",
-            *("TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn"),
+            *target,
             F.col("a_src").alias("src"),
             F.col("a_sobj").alias("c_obj"),
             F.col("a_scol").alias("c_col"),
@@ -119,16 +132,31 @@ def collapse(edges: DataFrame, objects: DataFrame | None = None, result_sets: Da
             (F.col("Hops") + 1).alias("Hops"),
             F.concat(F.array("a_text"), "path").alias("path"),
             F.concat(F.array(node), "seen").alias("seen"),
+            "sid",
         )
-        if frontier.isEmpty():
+        held = frontier.count()
+        if not held:
             break
-    out = _union(emitted).select(*owner, "src.*", "TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn", unrank(F.col("kind"), FLOW_RANK).alias("FlowKind"), "Hops", F.array_join("path", ARROW).alias("Path"), "conf")
-    key = [*owner, "SourceServer", "SourceDatabase", "SourceSchema", "SourceObject", "SourceObjectType", "SourceColumn", "TargetServer", "TargetDatabase", "TargetSchema", "TargetObject", "TargetColumn", "FlowKind"]
-    best = out.groupBy(*key).agg(F.min(F.struct("Hops", "Path", "conf")).alias("best"))
-    best = best.select(*key, "best.Hops", "best.Path", unrank(F.col("best.conf"), CONFIDENCE_RANK).alias("Confidence"))
+        if held > wide:
+            if cyclic is None:
+                cyclic = _on_cycles(adjacency, shared)
+            free = frontier.join(cyclic.select(F.col("n").alias("c_obj")), "c_obj", "left_anti")
+            least = free.groupBy(*state).agg(F.min(F.struct("Hops", "path", "conf", F.struct(*[F.col(c) for c in fields if c not in (*state, "Hops", "path", "conf")]).alias("rest"))).alias("b"))
+            least = least.select(*state, "b.Hops", "b.path", "b.conf", "b.rest.*").select(*fields)
+            frontier = least.unionByName(frontier.join(cyclic.select(F.col("n").alias("c_obj")), "c_obj", "left_semi").select(*fields))
+            if budget:  # start edges that have emitted all they may, all by shorter paths
+                done = _union(emitted).select("sid", "c_obj", "c_col", "kind").distinct().groupBy("sid").count().where(F.col("count") >= budget)
+                frontier = frontier.join(done, "sid", "left_anti")
+        frontier = materialize(frontier, f"frontier-{depth}")
+    out = _union(emitted).withColumn("Path", F.array_join("path", ARROW))
+    key = [*owner, *target, "src", "kind"]
+    best = out.groupBy(*key, "sid").agg(F.min(F.struct("Hops", "Path", "conf")).alias("best"))
     if budget:
-        start_key = [c for c in key if not c.startswith("Source") and c != "FlowKind"]
-        best = best.withColumn("n", F.row_number().over(Window.partitionBy(*start_key).orderBy("Hops", "Path", "FlowKind"))).where(F.col("n") <= budget).drop("n")
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy("sid").orderBy("best.Hops", "best.Path", "kind"))).where(F.col("n") <= budget)
+    best = best.groupBy(*key).agg(F.min("best").alias("best"))
+    best = best.select(*owner, "src.*", *target, unrank(F.col("kind"), FLOW_RANK).alias("FlowKind"), "best.Hops", "best.Path", unrank(F.col("best.conf"), CONFIDENCE_RANK).alias("Confidence"))
+    best = materialize(best, "collapsed")
+    release(adjacency, *rounds, *[x for x in (cyclic, shared) if x is not None])
     return best
 
 
@@ -141,11 +169,37 @@ def _look_up(at: DataFrame, columns: DataFrame, stars: DataFrame, shared: DataFr
     if shared is not None:
         temp = F.col("src.SourceObject").startswith("#") & ~F.col("src.SourceObject").startswith("##") & F.col("look_obj").isNull()
         at = at.withColumn("temp", F.when(temp, fold_column(F.col("src.SourceObject"))))
-        at = at.join(shared, (F.col("ctx") == F.col("h_mod")) & (F.col("temp") == F.col("h_name")) & (F.col("c_col") == F.col("h_col")), "left")
-        at = at.withColumn("ctx", F.coalesce("h_ctx", "ctx")).withColumn("look_obj", F.coalesce("look_obj", "h_obj")).withColumn("look_col", F.coalesce("look_col", "h_look")).drop("temp", "h_mod", "h_name", "h_col", "h_ctx", "h_obj", "h_look")
+        any_ = shared.where("h_col = '*'").select(F.col("h_mod").alias("s_mod"), F.col("h_name").alias("s_name"), F.col("there").alias("s_there"))
+        own = shared.where("h_col <> '*'").select("h_mod", "h_name", "h_col", "there")
+        at = at.join(own, (F.col("ctx") == F.col("h_mod")) & (F.col("temp") == F.col("h_name")) & (F.col("c_col") == F.col("h_col")), "left")
+        at = at.join(any_, (F.col("ctx") == F.col("s_mod")) & (F.col("temp") == F.col("s_name")), "left")
+        # The nearest module that fills the column or all columns; in one module the column goes first.
+        first = F.least(F.when(F.col("there").isNotNull(), F.struct("there.far", "there.h_ctx", F.lit(0).alias("star"), "there.h_obj")), F.when(F.col("s_there").isNotNull(), F.struct("s_there.far", "s_there.h_ctx", F.lit(1).alias("star"), "s_there.h_obj")))
+        at = at.withColumn("first", first).withColumn("ctx", F.coalesce("first.h_ctx", "ctx")).withColumn("look_obj", F.coalesce("look_obj", "first.h_obj"))
+        at = at.withColumn("look_col", F.coalesce("look_col", F.when(F.col("first.star") == 1, F.lit("*")).when(F.col("first").isNotNull(), F.col("c_col"))))
+        at = at.drop("temp", "h_mod", "h_name", "h_col", "there", "s_mod", "s_name", "s_there", "first", "star")
     return at.drop("exact", "star", "l_obj")
 
 
+def _on_cycles(adjacency: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Objects ``n`` that may lie on a cycle: what is left when objects without way in or way out go, again and again."""
+    e = adjacency.select(F.col("a_tobj").alias("u"), F.col("a_sobj").alias("v"))
+    if shared is not None:  # a temp leads to all temps of its name that others fill
+        name = fold_column(F.col("a_src.SourceObject"))
+        e = e.unionByName(adjacency.select(F.col("a_sobj").alias("u"), name.alias("h_name")).join(shared.select("h_name", F.col("there.h_tobj").alias("v")).distinct(), "h_name").select("u", "v"))
+    e = materialize(e.distinct(), "object-edges")
+    n, before = e.count(), -1
+    while n and n != before:
+        inner = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        less = materialize(inner, "object-edges")
+        release(e)
+        e, before = less, n
+        n = e.count()
+    out = materialize(e.select(F.col("u").alias("n")).distinct(), "on-cycles")
+    release(e)
+    return out
+
+
 def call_edges(objects: DataFrame, functions: bool = False) -> DataFrame:
     """Distinct calls ``(caller, callee)`` between module keys."""
     kinds = (*CALLABLE, "ScalarFunction", "InlineTvf", "MsTvf") if functions else CALLABLE
@@ -153,13 +207,12 @@ def call_edges(objects: DataFrame, functions: bool = False) -> DataFrame:
 
 
 def _shared_temps(objects: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Where a temp that a module doesn't fill is filled: first in a callee, then in a caller; ``(h_mod, h_name, h_col)`` to what to look up."""
+    """Where a temp that a module doesn't fill is filled: ``(h_mod, h_name, h_col)`` to the first callee, else caller, and its temp."""
     calls = call_edges(objects.where(F.col("Provenance").isin("Static", "DynamicStatic")), functions=True)
     near = calls.select(F.col("caller").alias("h_mod"), F.col("callee").alias("h_ctx"), F.lit(0).alias("far")).unionByName(calls.select(F.col("callee").alias("h_mod"), F.col("caller").alias("h_ctx"), F.lit(1).alias("far")))
-    filled = adjacency.where(F.col("a_name").startswith("#") & ~F.col("a_name").startswith("##")).select("a_mod", "a_name", "a_obj", "a_col").distinct()
-    met = near.join(filled, F.col("h_ctx") == F.col("a_mod")).select("h_mod", F.col("a_name").alias("h_name"), "h_ctx", "far", F.col("a_obj").alias("h_obj"), F.col("a_col").alias("h_look"))
-    first = met.groupBy("h_mod", "h_name", F.col("h_look").alias("h_col")).agg(F.min(F.struct("far", "h_ctx", "h_obj", "h_look")).alias("b"))
-    return materialize(first.select("h_mod", "h_name", "h_col", "b.h_ctx", "b.h_obj", "b.h_look"), "shared-temps")
+    filled = adjacency.where(F.col("a_name").startswith("#") & ~F.col("a_name").startswith("##")).select("a_mod", "a_name", "a_obj", "a_tobj", "a_col").distinct()
+    met = near.join(filled, F.col("h_ctx") == F.col("a_mod")).select("h_mod", F.col("a_name").alias("h_name"), "h_ctx", "far", F.col("a_obj").alias("h_obj"), F.col("a_tobj").alias("h_tobj"), F.col("a_col").alias("h_col"))
+    return materialize(met.groupBy("h_mod", "h_name", "h_col").agg(F.min(F.struct("far", "h_ctx", "h_obj", "h_tobj")).alias("there")), "shared-temps")
 
 
 def interprocedural(objects: DataFrame, triggers: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
@@ -205,6 +258,11 @@ def interprocedural(objects: DataFrame, triggers: DataFrame | None = None, max_d
     )
 
 
+def _place(side: str) -> Column:
+    """A node as queries show it: with its database."""
+    return F.concat_ws(".", *[F.col(side + c) for c in ("Database", "Schema", "Object", "Column")])
+
+
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     """Collapsed edges as ``from`` → ``to`` in walking direction; server takes no part in keys."""
     a, b = ("Target", "Source") if direction == "upstream" else ("Source", "Target")
@@ -212,9 +270,9 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     type_ = F.col(b + "ObjectType") if b + "ObjectType" in edges.columns else F.lit("Table")
     return edges.select(
         key(a).alias("f"),
-        _text(a).alias("f_text"),
+        _place(a).alias("f_text"),
         key(b).alias("t"),
-        _text(b).alias("t_text"),
+        _place(b).alias("t_text"),
         F.struct(*[F.col(b + p).alias("End" + p) for p in ("Server", "Database", "Schema", "Object")], type_.alias("EndObjectType"), F.col(b + "Column").alias("EndColumn")).alias("end"),
         rank(F.col("FlowKind"), PATH_RANK).alias("k"),
         rank(F.col("Confidence"), CONFIDENCE_RANK).alias("c"),
@@ -222,40 +280,58 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     )
 
 
+def _start_node(*more: str) -> Column:
+    return F.concat_ws(".", "Database", "Schema", "Object", *more)
+
+
 def query_terminals(edges: DataFrame, starts: DataFrame, direction: str = "upstream", max_hops: int = 10, max_rows: int | None = 500_000) -> DataFrame:
-    """Where walks from ``starts (Database, Schema, Object, Column)`` end, over Collapsed edges.
+    """Where walks from ``starts (Database, Schema, Object, Column)`` end, over Collapsed edges; ``direction`` may be ``both``.
 
     Ends are sources with no further edge, unresolved ends, the hop bound, and nodes already on the path.
-    The kind is the strongest on the path (indirect outranks), the confidence the worst.
+    The kind is the strongest on the path (indirect outranks), the confidence the worst. Beyond ``max_rows`` the
+    first in order of hops and path are kept, and a row with the reason ``MAX_ROWS`` says that there are more.
     """
+    if direction == "both":
+        return query_terminals(edges, starts, "upstream", max_hops, max_rows).unionByName(query_terminals(edges, starts, "downstream", max_hops, max_rows))
     adj = materialize(_oriented(edges, direction), "oriented")
     has = adj.select(F.col("f").alias("n")).distinct().withColumn("more", F.lit(True))
-    begin = starts.select(node_key(F.col("Database"), F.col("Schema"), F.col("Object"), F.col("Column")).alias("f"), F.concat_ws(".", "Schema", "Object").alias("StartNode"), F.col("Column").alias("StartColumn")).distinct()
+    begin = starts.select(node_key(F.col("Database"), F.col("Schema"), F.col("Object"), F.col("Column")).alias("f"), _start_node().alias("StartNode"), F.col("Column").alias("StartColumn")).distinct()
     order = (lambda new, old: F.concat(F.array(new), old)) if direction == "upstream" else (lambda new, old: F.concat(old, F.array(new)))
     frontier = begin.join(adj, "f").select("StartNode", "StartColumn", F.col("t").alias("node"), "end", "k", "c", F.lit(1).alias("Hops"), order(F.col("t_text"), F.array("f_text")).alias("path"), F.array("m").alias("mods"), F.array("f").alias("seen"))
-    frontier, ends = materialize(frontier, "walk-1"), []
+    ends, found, cut = [], 0, False
     for depth in range(1, max_hops + 1):
         at = frontier.join(has, F.col("node") == F.col("n"), "left")
         cycle = F.array_contains("seen", F.col("node"))
         reason = F.when(cycle, "CYCLE").when(F.col("more").isNull(), F.when(F.col("end.EndObjectType").isin("Unresolved", "External"), "UNRESOLVED").otherwise("PHYSICAL_SOURCE")).when(F.lit(depth >= max_hops), "MAX_HOPS")
         at = materialize(at.withColumn("TerminalReason", reason).drop("n", "more"), f"ends-{depth}")
         ends.append(at.where("TerminalReason is not null"))
-        if depth >= max_hops:
+        n = at.groupBy(F.col("TerminalReason").isNull().alias("open")).count().collect()  # two rows
+        ended, live = sum(r["count"] for r in n if not r["open"]), sum(r["count"] for r in n if r["open"])
+        found += ended
+        if not live:
             break
-        step = at.where("TerminalReason is null").join(adj.select("f", "t", "t_text", F.col("end").alias("e2"), F.col("k").alias("k2"), F.col("c").alias("c2"), "m"), F.col("node") == F.col("f"))
-        step = step.select("StartNode", "StartColumn", F.col("t").alias("node"), F.col("e2").alias("end"), F.greatest("k", "k2").alias("k"), F.greatest("c", "c2").alias("c"), (F.col("Hops") + 1).alias("Hops"), order(F.col("t_text"), F.col("path")).alias("path"), F.concat("mods", F.array("m")).alias("mods"), F.concat("seen", F.array("node")).alias("seen"))
-        frontier = materialize(step, f"walk-{depth + 1}")
-        if frontier.isEmpty():
+        walks = at.where("TerminalReason is null")
+        if max_rows and found >= max_rows:  # what is still open ends by longer paths
+            cut = True
             break
-    out = _union(ends).select(F.lit(direction).alias("Direction"), "StartNode", "StartColumn", "end.*", "Hops", unrank(F.col("k"), PATH_RANK).alias("FlowKind"), unrank(F.col("c"), CONFIDENCE_RANK).alias("Confidence"), "TerminalReason", F.array_join("path", ARROW).alias("Path"), F.array_join(F.array_distinct("mods"), " > ").alias("Modules"))
-    return out.limit(max_rows) if max_rows else out
+        if max_rows and live > max_rows:  # every open walk ends in a row at least
+            walks, cut = walks.orderBy("path", "mods", "StartNode", "StartColumn", "k", "c").limit(max_rows), True
+        step = walks.join(adj.select("f", "t", "t_text", F.col("end").alias("e2"), F.col("k").alias("k2"), F.col("c").alias("c2"), "m"), F.col("node") == F.col("f"))
+        frontier = step.select("StartNode", "StartColumn", F.col("t").alias("node"), F.col("e2").alias("end"), F.greatest("k", "k2").alias("k"), F.greatest("c", "c2").alias("c"), (F.col("Hops") + 1).alias("Hops"), order(F.col("t_text"), F.col("path")).alias("path"), order(F.col("m"), F.col("mods")).alias("mods"), F.concat("seen", F.array("node")).alias("seen"))
+    out = _union(ends).select(F.lit(direction).alias("Direction"), "StartNode", "StartColumn", "end.*", "Hops", unrank(F.col("k"), PATH_RANK).alias("FlowKind"), unrank(F.col("c"), CONFIDENCE_RANK).alias("Confidence"), "TerminalReason", F.array_join("path", ARROW).alias("Path"), F.array_join("mods", " > ").alias("Modules"))
+    if max_rows and (cut or found > max_rows):
+        kept = out.orderBy("Hops", "Path", "Modules", "StartNode", "StartColumn", "FlowKind", "Confidence").limit(max_rows)
+        mark = {"Direction": F.lit(direction), "TerminalReason": F.lit("MAX_ROWS")}
+        more = edges.sparkSession.range(1).select(*[mark.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in out.schema])
+        return kept.unionByName(more)
+    return out
 
 
 def all_hops(edges: DataFrame, starts: DataFrame, direction: str = "upstream", max_hops: int = 10) -> DataFrame:
     """Every node on walks from ``starts``, with the kind and confidence of the last edge; a null start column means all."""
     adj = materialize(_oriented(edges, direction), "oriented")
     obj, col = F.regexp_replace("f", "\x1f[^\x1f]*$", ""), F.regexp_extract("f", "([^\x1f]*)$", 1)
-    begin = starts.select(node_key(F.col("Database"), F.col("Schema"), F.col("Object")).alias("s_obj"), F.when(F.col("Column").isNotNull(), fold_column(F.col("Column"))).alias("s_col"), F.concat_ws(".", "Schema", "Object").alias("StartNode")).distinct()
+    begin = starts.select(node_key(F.col("Database"), F.col("Schema"), F.col("Object")).alias("s_obj"), F.when(F.col("Column").isNotNull(), fold_column(F.col("Column"))).alias("s_col"), _start_node().alias("StartNode")).distinct()
     first = adj.withColumn("s_obj", obj).join(begin, "s_obj").where(F.col("s_col").isNull() | (F.col("s_col") == col))
     frontier = materialize(first.select("StartNode", F.col("t").alias("node"), "end", "k", "c", F.lit(1).alias("Hops"), F.array("t").alias("seen")), "hop-1")
     found = [frontier]

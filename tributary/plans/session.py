@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tributary import sinks
 from tributary.durable import materialize
-from tributary.names import fold, node_key, parse_address, split_name
+from tributary.names import fold, fold_column, node_key, parse_address, split_name
 from tributary.operators import closure, tables
 from tributary.schemas import DDL, schema
 from tributary.sources import files
@@ -201,7 +202,7 @@ class LineageSession:
             if c.dedup:
                 t[name] = tables.concat_parts([t[name]], name)
         extra = closure.interprocedural(t["ObjectLineage"], self.triggers(), c.max_call_depth)
-        t["Collapsed"] = materialize(closure.collapse(t["ColumnLineage"], t["ObjectLineage"], t["ResultSets"], c.max_collapse_depth), "collapsed")
+        t["Collapsed"] = closure.collapse(t["ColumnLineage"], t["ObjectLineage"], t["ResultSets"], c.max_collapse_depth)
         t["ObjectLineage"] = materialize(t["ObjectLineage"].unionByName(extra.select(*t["ObjectLineage"].columns)), "object-lineage")
         missed = None
         if self.deps is not None:
@@ -225,15 +226,17 @@ class LineageSession:
     # queries
 
     def _address(self, text: str) -> DataFrame:
-        a = parse_address(text, {r.database for r in self.entries.select("database").distinct().collect()})
-        nodes = self.tables["Collapsed"]
-        both = [nodes.select(F.col(s + "Database").alias("Database"), F.col(s + "Schema").alias("Schema"), F.col(s + "Object").alias("Object"), F.col(s + "Column").alias("Column")) for s in ("Source", "Target")]
-        hit = both[0].unionByName(both[1]).distinct().where((F.upper("Schema") == a["schema"].upper()) & (F.upper("Object") == a["object"].upper()))
-        if a["column"]:
-            hit = hit.where(F.upper("Column") == a["column"].upper())
-        return hit
+        """Nodes of Collapsed that an address means: of its server and database where it names them."""
+        c = self.tables["Collapsed"]
+        both = [c.select(*[F.col(s + x).alias(x) for x in ("Server", "Database", "Schema", "Object", "Column")]) for s in ("Source", "Target")]
+        nodes = both[0].unionByName(both[1]).distinct()
+        known = {r.Database for r in nodes.select("Database").distinct().collect()} | {r.database for r in self.entries.select("database").distinct().collect()}
+        a = parse_address(text, known)
+        same = [fold_column(F.col(x)) == fold(a[x.lower()]) for x in ("Server", "Database", "Schema", "Object", "Column") if a[x.lower()] is not None]
+        return nodes.where(reduce(lambda x, y: x & y, same)).drop("Server").distinct()
 
     def query(self, address: str, direction: str = "upstream") -> DataFrame:
+        """Ends of walks from a node, ``upstream``, ``downstream`` or ``both``."""
         return closure.query_terminals(self.tables["Collapsed"], self._address(address), direction, self.config.max_query_hops, self.config.max_query_rows).withColumn("RunId", F.lit(self.config.run_id)).select(*[f.name for f in schema("Query")])
 
     def graph(self, address: str, fmt: str = "dot", columns: bool = False) -> str:

@@ -83,10 +83,10 @@ def query_up_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KIND = "CASE WHEN s_acctbal < 0 THEN 'Indirect' ELSE 'Expression' END"
 _CONF = "CASE WHEN s_acctbal < 1000 THEN 'Low' ELSE 'High' END"
-_PATH = "'dbo.R' || n_regionkey || '.k → dbo.N' || n_nationkey || '.k → dbo.S' || s_suppkey || '.k'"
+_PATH = "'D.dbo.R' || n_regionkey || '.k → D.dbo.N' || n_nationkey || '.k → D.dbo.S' || s_suppkey || '.k'"
 SQL["query_up_terminals"] = f"""
-SELECT 'dbo.S' || s_suppkey AS "StartNode", 'R' || n_regionkey AS "EndObject", 2 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence",
-  'PHYSICAL_SOURCE' AS "TerminalReason", {_PATH} AS "Path", 'dbo.m2 > dbo.m1' AS "Modules"
+SELECT 'D.dbo.S' || s_suppkey AS "StartNode", 'R' || n_regionkey AS "EndObject", 2 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence",
+  'PHYSICAL_SOURCE' AS "TerminalReason", {_PATH} AS "Path", 'dbo.m1 > dbo.m2' AS "Modules"
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
@@ -97,12 +97,12 @@ def query_down_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["query_down_terminals"] = f"""
-SELECT 'dbo.R' || n_regionkey AS "StartNode", 'S' || s_suppkey AS "EndObject", 2 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence",
+SELECT 'D.dbo.R' || n_regionkey AS "StartNode", 'S' || s_suppkey AS "EndObject", 2 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence",
   'PHYSICAL_SOURCE' AS "TerminalReason", {_PATH} AS "Path", 'dbo.m1 > dbo.m2' AS "Modules"
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL
-SELECT 'dbo.R' || n_regionkey, 'N' || n_nationkey, 1, 'Direct', 'Exact', 'PHYSICAL_SOURCE',
-  'dbo.R' || n_regionkey || '.k → dbo.N' || n_nationkey || '.k', 'dbo.m1'
+SELECT 'D.dbo.R' || n_regionkey, 'N' || n_nationkey, 1, 'Direct', 'Exact', 'PHYSICAL_SOURCE',
+  'D.dbo.R' || n_regionkey || '.k → D.dbo.N' || n_nationkey || '.k', 'dbo.m1'
 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
 """
 
@@ -113,9 +113,9 @@ def fn_upstream_all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["fn_upstream_all_hops"] = f"""
-SELECT 'dbo.S' || s_suppkey AS "StartNode", 'N' || s_nationkey AS "EndObject", 1 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence" FROM supplier
+SELECT 'D.dbo.S' || s_suppkey AS "StartNode", 'N' || s_nationkey AS "EndObject", 1 AS "Hops", {_KIND} AS "FlowKind", {_CONF} AS "Confidence" FROM supplier
 UNION ALL
-SELECT 'dbo.S' || s_suppkey, 'R' || n_regionkey, 2, 'Direct', 'Exact' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT 'D.dbo.S' || s_suppkey, 'R' || n_regionkey, 2, 'Direct', 'Exact' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
 
@@ -125,9 +125,9 @@ def fn_downstream_all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["fn_downstream_all_hops"] = f"""
-SELECT 'dbo.R' || n_regionkey AS "StartNode", 'N' || n_nationkey AS "EndObject", 1 AS "Hops", 'Direct' AS "FlowKind", 'Exact' AS "Confidence" FROM nation
+SELECT 'D.dbo.R' || n_regionkey AS "StartNode", 'N' || n_nationkey AS "EndObject", 1 AS "Hops", 'Direct' AS "FlowKind", 'Exact' AS "Confidence" FROM nation
 UNION ALL
-SELECT 'dbo.R' || n_regionkey, 'S' || s_suppkey, 2, {_KIND}, {_CONF} FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT 'D.dbo.R' || n_regionkey, 'S' || s_suppkey, 2, {_KIND}, {_CONF} FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
 
