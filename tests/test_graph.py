@@ -233,3 +233,52 @@ def test_command_line(spark, tmp_path, capsys):
     main(["run", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
     main(["graph", str(tmp_path / "out"), "dbo.b"])
     assert '"FILES.dbo.a" -> "FILES.dbo.b"' in capsys.readouterr().out
+
+
+def test_budget_counts_for_each_start_edge(spark):
+    rows = [("m", f"v{i}", "View", "out", "Table", "Direct", "Exact") for i in range(3)]
+    rows += [("w", f"s{i}_{j}", "Table", f"v{i}", "View", "Direct", "Exact") for i in range(3) for j in range(4)]
+    for wide in (0, 1000):
+        assert closure.collapse(column_edges(spark, rows), budget=5, wide=wide).count() == 12
+        assert {r.SourceObject for r in closure.collapse(column_edges(spark, rows), budget=2, wide=wide).collect()} == {f"s{i}_{j}" for i in range(3) for j in range(2)}
+
+
+def test_merged_paths_change_nothing(spark):
+    rng = random.Random(8)
+    types = {f"n{i}": rng.choice(["Table", "View", "View", "Procedure"]) for i in range(12)}
+    rows = set()
+    while len(rows) < 34:
+        s, t = rng.sample(sorted(types), 2)
+        rows.add(("m1", s, types[s], t, types[t], rng.choice(["Direct", "Expression", "Aggregate"]), "Exact"))
+    got = {(r.ModuleName, r.SourceObject, r.TargetObject, r.FlowKind): r.Hops for r in closure.collapse(column_edges(spark, sorted(rows)), wide=0).collect()}
+    assert got == naive_collapse(sorted(rows))
+
+
+def test_twenty_layers_of_diamonds(spark):
+    rows = [("m", f"s{i}", "Table", f"v0_{i}", "View", "Direct", "Exact") for i in range(3)]
+    rows += [("m", f"v{k}_{i}", "View", f"v{k + 1}_{j}", "View", "Direct", "Exact") for k in range(19) for i in range(3) for j in range(3)]
+    rows += [("m", f"v19_{i}", "View", "out", "Table", "Direct", "Exact") for i in range(3)]
+    got = closure.collapse(column_edges(spark, rows), wide=100).collect()  # 3**20 paths
+    assert {(r.SourceObject, r.Hops) for r in got} == {(f"s{i}", 21) for i in range(3)} and len(got) == 3
+
+
+def test_stars_of_shared_temps(spark):
+    script = "CREATE PROCEDURE dbo.fill AS INSERT INTO #k SELECT * FROM unknown\nGO\nCREATE TABLE dbo.out (a int)\nGO\nCREATE PROCEDURE dbo.use_it AS BEGIN EXEC dbo.fill; INSERT INTO dbo.out (a) SELECT k.a FROM #k k; END"
+    t = session.LineageSession.from_scripts(spark, files.read_script_table(spark.createDataFrame([("f", script)], "f string, t string"), "f", "t")).run_all()
+    assert [(r.SourceObject, r.SourceColumn, r.TargetObject, r.Hops) for r in t["Collapsed"].collect()] == [("unknown", "*", "out", 2)]
+
+
+def test_addresses_and_truncation(spark):
+    names = [f.name for f in schema("Collapsed")]
+    one = column_edges(spark, [("m1", "a", "Table", "b", "Table", "Direct", "Exact"), ("m2", "b", "Table", "c", "Table", "Direct", "Exact"), ("m3", "z", "Table", "c", "Table", "Direct", "Exact")]).withColumn("Path", F.lit("")).withColumn("Hops", F.lit(1)).select(*names)
+    two = one.replace("D", "E", ["SourceDatabase", "TargetDatabase"]).replace("S", "S2", ["SourceServer", "TargetServer"])
+    s = session.LineageSession(spark, spark.createDataFrame([], files.ENTRY))
+    s.tables["Collapsed"] = one.unionByName(two)
+    ends = lambda a, d="upstream": sorted((r.Direction, r.StartNode, r.EndDatabase, r.EndObject, r.Path) for r in s.query(a, d).collect())
+    assert ends("D.dbo.c") == [("upstream", "D.dbo.c", "D", "a", "D.dbo.a.c → D.dbo.b.c → D.dbo.c.c"), ("upstream", "D.dbo.c", "D", "z", "D.dbo.z.c → D.dbo.c.c")]
+    assert ends("S2.E.dbo.c.c") == [tuple(x.replace("D", "E") for x in r) for r in ends("D.dbo.c")]
+    assert len(ends("dbo.c")) == 4 and len(ends("dbo.c.c")) == 4 and ends("S.E.dbo.c") == []
+    assert [r[0] for r in ends("D.dbo.b", "both")] == ["downstream", "upstream"]
+    s.config.max_query_rows = 1
+    got = [(r.EndObject, r.TerminalReason) for r in s.query("D.dbo.c").collect()]
+    assert got == [("z", "PHYSICAL_SOURCE"), (None, "MAX_ROWS")]

@@ -37,6 +37,11 @@ class Config:
     graph_hops: int = 3
     dedup: bool = True
     config_tables: dict[str, int] = field(default_factory=dict)  # schema.table.column to how many values to read
+    linked_servers: dict[str, list] = field(default_factory=dict)  # linked name to [server, default database]
+    include_databases: list[str] = field(default_factory=lambda: ["*"])
+    exclude_databases: list[str] = field(default_factory=list)
+    exclude_names: list[str] = field(default_factory=list)  # modules whose name contains one of these
+    exclude_schemas: list[str] = field(default_factory=list)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -71,11 +76,21 @@ class LineageSession:
 
     def __init__(self, spark: SparkSession, entries: DataFrame, config: Config | None = None, deps: DataFrame | None = None, previous: dict[str, DataFrame] | None = None, data: dict[str, DataFrame] | None = None):
         self.spark, self.config, self.deps, self.previous = spark, config or Config(), deps, previous
-        self.entries = materialize(entries, "entries")
+        self.entries = materialize(self._scanned(entries), "entries")
         self.data = data or {}  # configuration tables by schema.table
         self.tables: dict[str, DataFrame] = {}
         self.tasks: dict[str, str] = {"prepass": "pending", "analyze": "pending", "merge": "pending"}
 
+    def _scanned(self, entries: DataFrame) -> DataFrame:
+        """Entries of the databases to scan, without the modules to leave out."""
+        c = self.config
+        rows = files.filter_databases(entries, c.include_databases, c.exclude_databases, c.archive_patterns)
+        if not (c.exclude_names or c.exclude_schemas):
+            return rows
+        module = F.col("type").isin(*MODULE_TYPES)
+        kept = files.filter_modules(rows.where(module), c.exclude_names, c.exclude_schemas)
+        return rows.where(~module).unionByName(kept)
+
     @classmethod
     def from_scripts(cls, spark: SparkSession, batches: DataFrame, config: Config | None = None, extra: list[Entry] = (), **more) -> LineageSession:
         rows = files.entries(_spread(batches))
@@ -127,7 +142,7 @@ class LineageSession:
         """Hash of what module text alone doesn't say: settings, and the shapes of all objects."""
         c = self.config
         shapes = self.entries.where("type <> 'Script'").select(F.concat_ws(".", "server", "database", "schema", "name").alias("name"), F.concat_ws("|", "type", "columns", F.when(F.col("type").isin("View", "InlineTvf", "Synonym"), F.concat_ws("|", "definition", F.concat_ws(".", "target")))).alias("shape"))
-        return tables.engine_signature(shapes, VERSION, json.dumps(c.settings, sort_keys=True, default=str), json.dumps(c.archive_patterns))
+        return tables.engine_signature(shapes, VERSION, json.dumps([c.settings, c.linked_servers], sort_keys=True, default=str), json.dumps(c.archive_patterns))
 
     def _same_engine(self) -> bool:
         """Whether the previous run saw the same settings and shapes; a run without a signature is taken at its word."""
@@ -149,7 +164,7 @@ class LineageSession:
         known = (prepass or self.prepass())["facts"]
         catalog_rows, config = self._catalog_rows(), self.config
         shared = self.spark.sparkContext.broadcast((catalog_rows, known))
-        settings, patterns, run_id = DEFAULTS | config.settings | {"config_values": self._config_values()}, config.archive_patterns, config.run_id
+        settings, patterns, run_id = DEFAULTS | config.settings | {"config_values": self._config_values(), "linked_servers": config.linked_servers}, config.archive_patterns, config.run_id
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES)).withColumn("DefinitionHash", tables.definition_hash(F.coalesce("definition", F.lit(""))))
         by = ["Server", "Database", "ModuleSchema", "ModuleName"]
         named = mods.withColumnsRenamed({"server": "Server", "database": "Database", "schema": "ModuleSchema", "name": "ModuleName"})

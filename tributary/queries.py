@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary import corpus
 from tributary.functions import dialect
 from tributary.operators import closure, tables
 from tributary.plans import etl, session
@@ -53,6 +54,102 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 """
 
 
+def _calls(df: DataFrame, caller, callee) -> DataFrame:
+    return _object_rows(df, ModuleName=caller, Action=F.lit("Calls"), ObjectName=callee, ObjectType=F.lit("Procedure"))
+
+
+def collapse_shared_temps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's loader reads #t, which its callee fills: column by column, or from ``*`` of a table of unknown shape."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("n"), (F.col("c_custkey") % 3).alias("how"))
+    load, fill = F.concat(F.lit("load"), "k"), F.concat(F.lit("fill"), "k")
+
+    def edge(rows: DataFrame, module, source: tuple, target: tuple) -> DataFrame:
+        values = {"RunId": F.lit("r1"), "Server": F.lit("S"), "Database": F.lit("D"), "ModuleSchema": F.lit("dbo"), "ModuleName": module, "ModuleType": F.lit("Procedure"), "FlowKind": F.lit("Direct"), "Confidence": F.lit("Exact"), "Provenance": F.lit("Static")}
+        for side, (type_, schema_name, name, column) in (("Source", source), ("Target", target)):
+            values |= {side + "Server": F.lit("S"), side + "Database": F.lit("D"), side + "Schema": schema_name, side + "Object": name, side + "ObjectType": F.lit(type_), side + "Column": F.lit(column)}
+        return rows.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema("ColumnLineage")])
+
+    dbo, temp = F.lit("dbo"), F.lit("#t")
+    out = edge(c, load, ("TempTable", F.concat(F.lit("dbo."), load), temp, "k"), ("Table", dbo, F.concat(F.lit("O"), "k"), "k"))
+    here = ("TempTable", F.concat(F.lit("dbo."), fill), temp)
+    out = out.unionByName(edge(c.where("how = 0"), fill, ("Table", dbo, F.concat(F.lit("N"), "n"), "k"), (*here, "k")))
+    out = out.unionByName(edge(c.where("how = 1"), fill, ("Unresolved", dbo, F.concat(F.lit("N"), "n"), "*"), (*here, "*")))
+    return closure.collapse(out, _calls(c, load, fill)).select("ModuleName", "SourceObject", "SourceColumn", "TargetObject", F.col("Hops").cast("bigint").alias("Hops"))
+
+
+SQL["collapse_shared_temps"] = """
+SELECT 'load' || c_custkey AS "ModuleName", CASE WHEN c_custkey % 3 = 2 THEN '#t' ELSE 'N' || c_nationkey END AS "SourceObject",
+  CASE WHEN c_custkey % 3 = 1 THEN '*' ELSE 'k' END AS "SourceColumn", 'O' || c_custkey AS "TargetObject",
+  CAST(CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 2 END AS BIGINT) AS "Hops"
+FROM customer
+"""
+
+
+def collapse_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers → a nation's two views → its table; each of the two start edges emits five rows at most."""
+    nation, supplier, customer = (_t(spark, sf_dir, n) for n in ("nation", "supplier", "customer"))
+    kind, conf = F.lit("Direct"), F.lit("Exact")
+    e = _edges(nation, ("View", "VS", "n_nationkey"), ("Table", "T", "n_nationkey"), kind, conf)
+    e = e.unionByName(_edges(nation, ("View", "VC", "n_nationkey"), ("Table", "T", "n_nationkey"), kind, conf))
+    e = e.unionByName(_edges(supplier, ("Table", "S", "s_suppkey"), ("View", "VS", "s_nationkey"), kind, conf))
+    e = e.unionByName(_edges(customer, ("Table", "C", "c_custkey"), ("View", "VC", "c_nationkey"), kind, conf))
+    out = closure.collapse(e, budget=5, wide=0)
+    return out.select("SourceObject", "TargetObject", F.col("Hops").cast("bigint").alias("Hops"), "Path")
+
+
+SQL["collapse_budget"] = """
+WITH p AS (
+  SELECT 'S' || s_suppkey AS s, 'VS' || n_nationkey AS v, 'T' || n_nationkey AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'C' || c_custkey, 'VC' || n_nationkey, 'T' || n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'VS' || n_nationkey, 'VS' || n_nationkey, 'T' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+  UNION ALL SELECT 'VC' || n_nationkey, 'VC' || n_nationkey, 'T' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)),
+q AS (SELECT *, 'dbo.' || s || '.k → ' || CASE WHEN s = v THEN '' ELSE 'dbo.' || v || '.k → ' END || 'dbo.' || t || '.k' AS path FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY path) AS n FROM q)
+SELECT s AS "SourceObject", t AS "TargetObject", CAST(CASE WHEN s = v THEN 1 ELSE 2 END AS BIGINT) AS "Hops", path AS "Path" FROM r WHERE n <= 5
+"""
+
+
+def collapse_diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of views, each over all of the layer below: region → nations' views, five layers → a table. Paths are
+    many, rows few; from a path's kinds the strongest holds."""
+    region = _t(spark, sf_dir, "region")
+    pairs = region.select(F.col("r_regionkey").alias("a")).crossJoin(region.select(F.col("r_regionkey").alias("b")))  # five by five rows
+    kind, conf = F.lit("Direct"), F.lit("Exact")
+    e = _edges(region, ("Table", "R", "r_regionkey"), ("View", "V0_", "r_regionkey"), F.when(F.col("r_regionkey") == 0, "Aggregate").otherwise("Direct"), conf)
+    for layer in range(1, 6):
+        e = e.unionByName(_edges(pairs, ("View", f"V{layer - 1}_", "a"), ("View", f"V{layer}_", "b"), kind, conf))
+    e = e.unionByName(_edges(region, ("View", "V5_", "r_regionkey"), ("Table", "T", "r_regionkey"), F.when(F.col("r_regionkey") == 1, "Expression").otherwise("Direct"), conf))
+    return closure.collapse(e, wide=50).select("SourceObject", "TargetObject", "FlowKind", F.col("Hops").cast("bigint").alias("Hops"), "Path")
+
+
+SQL["collapse_diamonds"] = """
+SELECT 'R' || a.r_regionkey AS "SourceObject", 'T' || b.r_regionkey AS "TargetObject",
+  CASE WHEN a.r_regionkey = 0 THEN 'Aggregate' WHEN b.r_regionkey = 1 THEN 'Expression' ELSE 'Direct' END AS "FlowKind", CAST(7 AS BIGINT) AS "Hops",
+  'dbo.R' || a.r_regionkey || '.k → dbo.V0_' || a.r_regionkey || '.k → dbo.V1_0.k → dbo.V2_0.k → dbo.V3_0.k → dbo.V4_0.k → dbo.V5_' || b.r_regionkey || '.k → dbo.T' || b.r_regionkey || '.k' AS "Path"
+FROM region a, region b
+"""
+
+
+def query_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges in two databases; a node of one of them, both ways."""
+    one = _place_edges(spark, sf_dir).withColumn("Path", F.lit("")).withColumn("Hops", F.lit(1))
+    names = [f.name for f in schema("Collapsed")]
+    two = one.withColumn("SourceDatabase", F.lit("E")).withColumn("TargetDatabase", F.lit("E")).withColumn("SourceObject", F.concat(F.lit("E"), "SourceObject"))
+    two = two.unionByName(one.withColumn("SourceDatabase", F.lit("E")).withColumn("TargetDatabase", F.lit("E")))
+    s = session.LineageSession(spark, spark.createDataFrame([], files.ENTRY))
+    s.tables["Collapsed"] = one.select(*names).unionByName(two.select(*names))
+    out = s.query("D.dbo.N3", "both")
+    return out.select("Direction", "StartNode", "StartColumn", "EndDatabase", "EndObject", "Hops", "TerminalReason", "Path")
+
+
+SQL["query_by_address"] = """
+SELECT 'upstream' AS "Direction", 'D.dbo.N3' AS "StartNode", 'k' AS "StartColumn", 'D' AS "EndDatabase", 'R' || n_regionkey AS "EndObject", 1 AS "Hops",
+  'PHYSICAL_SOURCE' AS "TerminalReason", 'D.dbo.R' || n_regionkey || '.k → D.dbo.N3.k' AS "Path" FROM nation WHERE n_nationkey = 3
+UNION ALL
+SELECT 'downstream', 'D.dbo.N3', 'k', 'D', 'S' || s_suppkey, 1, 'PHYSICAL_SOURCE', 'D.dbo.N3.k → D.dbo.S' || s_suppkey || '.k' FROM supplier WHERE s_nationkey = 3
+"""
+
+
 def lineage_concat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
     return tables.concat_parts([rows, rows], "ColumnLineage")
@@ -422,7 +519,7 @@ SELECT 'F' || s_suppkey AS "Folder", 'dbo.S' || s_suppkey AS "SourceTable", a AS
 FROM supplier, (VALUES ('A', 'A', 'Direct', 2), ('B', 'C', 'Expression', 4)) v(a, c, k, h)
 """
 
-#: T-SQL queries that are analysed and also run: the text for Spark (through the dialect), the SQL for comparison.
+#: T-SQL queries that are run: the text for Spark (through the dialect), the SQL for comparison. ``corpus`` has those that are analysed.
 CORPUS: dict[str, tuple[str, str]] = {
     "corpus_exec_joins": (
         "SELECT c.[c_custkey], n.n_name, ISNULL(o.total, 0) AS total FROM dbo.customer c INNER JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total FROM orders WITH (NOLOCK) GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey",
@@ -492,5 +589,14 @@ def _corpus(name: str):
     return query
 
 
+def _rules(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return corpus.rows(spark, name)
+
+    query.__name__ = name
+    return query
+
+
 SQL |= {n: sql for n, (_, sql) in CORPUS.items()}
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL} | {n: _corpus(n) for n in CORPUS}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL} | {n: _corpus(n) for n in CORPUS} | {n: _rules(n) for n in corpus.SCRIPTS}
+SQL |= {n: corpus.expected_sql(n) for n in corpus.SCRIPTS}
