@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import langid, neardup, packing, pii
-from tributary.llm.common import crc_fold, materialize, table
+from tributary.llm.common import crc_fold, materialize, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word shingles alike at Jaccard 0.8 or more."""
+    """One document of each group with 5-word shingles alike at Jaccard 0.8 or more: SimHash proposes, sets decide."""
     return neardup.keep_one(docs)
 
 
@@ -41,5 +41,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)  # what the last stage wrote; the table read first is not ours and stays
     return docs
