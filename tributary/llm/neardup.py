@@ -23,15 +23,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tributary.llm import simhash
 from tributary.llm.common import map_columns, materialize, release
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import LOWER, SEED, WORD
 
-SHINGLE, SAMPLE, COMMON = 5, 8_000, 1_000_000
+SHINGLE, SAMPLE, COMMON, MAP = 5, 8_000, 1_000_000, 1 << 22
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,16 +74,37 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``ids (doc_id)``, and some more, without a shuffle of texts.
+
+    Hashes of the ids are bits of a map of ``MAP`` bits, whatever their number; the more ids, the less it rules out.
+    """
+    spot = F.xxhash64("doc_id").bitwiseAND(MAP - 1)
+    at = ids.select((spot + 1).alias("v"))
+    found = at.groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()  # MAP bits
+    bits = np.zeros(MAP, bool)
+    for r in found:
+        lo = (r.bucket - 1) << 15
+        bits[lo : lo + (1 << 15)] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @pandas_udf("boolean")
+    def may(spots: pd.Series) -> pd.Series:
+        x = spots.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
+
+    return rows.where(may(spot))
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts. ``pairs`` is written too."""
+    """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts."""
 
     def make():
         return lambda ids, texts: {"doc_id": ids, "own": [shingles(t) for t in texts]}
 
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = map_columns(rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "doc_id long, own array<long>", make, rows=500)
-    # One set for each document, whichever of rows with one doc_id it is: candidates took the same.
-    whole = materialize(sets, "sets")
+    sets = map_columns(among(rows, wanted).select("doc_id", "text"), "doc_id long, own array<long>", make, rows=500)
+    whole = materialize(sets.join(wanted, "doc_id", "left_semi"), "sets")
     x, y = whole.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), whole.select(F.col("doc_id").alias("dst"), F.col("own").alias("y"))
     both = pairs.join(x, "src").join(y, "dst")
     out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct(), "links")
@@ -116,7 +139,8 @@ def links(firsts: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = materialize(proposed(firsts).distinct(), "proposed")
     close = verified(pairs, rows)
     release(pairs)
-    entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n")
+    # One shuffle by shingle serves the count and the join.
+    entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n").repartition("h")
     shared = entries.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     entries = materialize(entries.join(shared, "h"), "shared")
     mixed = _mixed(entries, close)
@@ -149,12 +173,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sets = materialize(map_columns(rows, "doc_id long, n long, digest binary, fp long, prefix array<long>", make, rows=500), "prefixes")
     classes = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = materialize(sets.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("doc_id", "n", "fp", "prefix"), "firsts")
+    # Copies go by their doc_id, so that prefixes aren't moved.
+    copies = materialize(sets.select("digest", "doc_id").join(classes, "digest").where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    firsts = sets.join(copies, "doc_id", "left_anti").select("doc_id", "n", "fp", "prefix")
     found = links(firsts, rows)
     comp = connected_components(found)
     member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = materialize(sets.select("doc_id", "digest").join(member, "digest").select("doc_id", "component_id"), "near-duplicates")
-    release(sets, classes, firsts, found, comp)
+    release(sets, classes, copies, found, comp)
     return out
 
 
