@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's own setting: shuffle files are deleted when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,11 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts the lineage durably: a lost executor re-reads files, it never recomputes what led to them.
-    ``Dataset.checkpoint`` would run the plan twice.
+    ``Dataset.checkpoint`` would run the plan twice. The plan's shuffle files go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path  # type: ignore[attr-defined]
     return out
