@@ -30,7 +30,6 @@ from tributary.tsql.parser import Parser
 #: Aggregate functions of the expression language, and words that aren't ports (fixed values).
 AGGREGATE = re.compile(r"(?i)\b(SUM|AVG|MIN|MAX|COUNT|FIRST|LAST|MEDIAN|PERCENTILE|STDDEV|VARIANCE|MOVINGAVG|MOVINGSUM|CUME)\s*\(")
 WORDS = set("AND OR NOT IN IS NULL TRUE FALSE LIKE BETWEEN SYSDATE SESSSTARTTIME SYSTIMESTAMP DD_INSERT DD_UPDATE DD_DELETE DD_REJECT PROC_RESULT SPOUTPUT".split())
-BUDGET = 20_000
 
 
 class Port:
@@ -294,12 +293,13 @@ class Mapping:
     def sources_of(self, target: tuple[str, str]) -> dict[tuple[str, str, str], tuple[int, list[str]]]:
         """Physical ends behind a port: ``(node, port, kind)`` with the fewest hops and a path.
 
-        Shortest first over (port, kind so far): each pair is settled once, so cycles and diamonds cost nothing.
+        Shortest first over (port, kind so far): each pair is settled once, so cycles and diamonds cost nothing and the
+        work is bounded by the ports of the mapping. All of it is done; there is no other bound.
         """
         start = (target[0], target[1], "Direct")
         best: dict[tuple[str, str, str], tuple[int, list[str]]] = {}
         queue, seen = deque([(start, 0, [f"{target[0]}.{target[1]}"])]), {start}
-        while queue and len(seen) < BUDGET:
+        while queue:
             (node, port, kind), hops, path = queue.popleft()
             steps = self.into.get((node, port), [])
             if not steps:
