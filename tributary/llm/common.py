@@ -96,6 +96,11 @@ def only(key, make: Callable[[], object]):
     return _only["value"]
 
 
+def forget() -> None:
+    """Drop what ``only`` keeps; for operators that keep nothing and run in workers others have used."""
+    _only.clear()
+
+
 def crc_fold(key) -> F.Column:
     """crc32 of a key's text, modulo 4."""
     return F.crc32(key.cast("string").cast("binary")) % 4

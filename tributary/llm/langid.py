@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tributary.llm.common import map_columns, only
+from tributary.llm.common import forget, map_columns, only
 
 SAMPLE, FEATURES, ORDERS, SWITCH, CACHE, WORDS = 4_000, 100_000, 3, 6.0, 200_000, 300_000
 #: First and last code point of the scripts told apart (fixed values of the Unicode blocks).
@@ -151,6 +151,8 @@ def counts(docs: DataFrame) -> DataFrame:
     """``(lang, kind, item, n)``: n-grams, scripts and documents of labelled rows ``(text, lang)``."""
 
     def make():
+        forget()
+
         def run(texts, langs):
             by: Counter = Counter()
             tokens: dict[str, Counter] = {}

@@ -23,13 +23,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tributary.llm import simhash
-from tributary.llm.common import map_columns, materialize, release
+from tributary.llm.common import forget, map_columns, materialize, release
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import LOWER, SEED, WORD
 
@@ -66,6 +64,7 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
 
     def make():
+        forget()
         return lambda texts: {"h": np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)])}
 
     met = map_columns(picked.select("text"), "h long", make, rows=500)
@@ -74,37 +73,43 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in ``ids (doc_id)``, and some more, without a shuffle of texts.
-
-    Hashes of the ids are bits of a map of ``MAP`` bits, whatever their number; the more ids, the less it rules out.
-    """
-    spot = F.xxhash64("doc_id").bitwiseAND(MAP - 1)
-    at = ids.select((spot + 1).alias("v"))
+def spots(ids: DataFrame) -> np.ndarray:
+    """The hashes of the ids in ``ids (doc_id)``, as set bits of a map of ``MAP`` bits, whatever their number."""
+    at = ids.select((F.xxhash64("doc_id").bitwiseAND(MAP - 1) + 1).alias("v"))
     found = at.groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()  # MAP bits
     bits = np.zeros(MAP, bool)
     for r in found:
         lo = (r.bucket - 1) << 15
         bits[lo : lo + (1 << 15)] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return np.packbits(bits)
 
-    @pandas_udf("boolean")
-    def may(spots: pd.Series) -> pd.Series:
-        x = spots.to_numpy(np.int64)
-        return pd.Series((shared.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
 
-    return rows.where(may(spot))
+def sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(doc_id, own)``: shingles of the ``rows`` whose doc_id is in ``ids (doc_id)``, and of some more.
 
-
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts."""
+    No text is shuffled, and one Python worker both rules out rows and cuts the rest; the more ids, the less it rules out.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(spots(ids))
 
     def make():
-        return lambda ids, texts: {"doc_id": ids, "own": [shingles(t) for t in texts]}
+        forget()
+        bits = shared.value
+
+        def run(spot, ids, texts):
+            x = np.array(spot, np.int64)
+            may = np.flatnonzero(bits[x >> 3] >> (7 - (x & 7)) & 1)
+            return {"doc_id": [ids[i] for i in may], "own": [shingles(texts[i]) for i in may]}
 
+        return run
+
+    spot = F.xxhash64("doc_id").bitwiseAND(MAP - 1).alias("spot")
+    return map_columns(rows.select(spot, "doc_id", "text"), "doc_id long, own array<long>", make, rows=500)
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts."""
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = map_columns(among(rows, wanted).select("doc_id", "text"), "doc_id long, own array<long>", make, rows=500)
-    whole = materialize(sets.join(wanted, "doc_id", "left_semi"), "sets")
+    whole = materialize(sets_of(wanted, rows).join(wanted, "doc_id", "left_semi"), "sets")
     x, y = whole.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), whole.select(F.col("doc_id").alias("dst"), F.col("own").alias("y"))
     both = pairs.join(x, "src").join(y, "dst")
     out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct(), "links")
@@ -163,6 +168,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
     def make():
+        forget()
         common, rank = shared.value
 
         def run(ids, texts):
