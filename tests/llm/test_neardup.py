@@ -23,9 +23,9 @@ def brute(texts):
     return label
 
 
-@pytest.mark.parametrize("sample", [40])
-def test_near_copies_are_linked(spark, monkeypatch, sample):
-    monkeypatch.setattr(neardup.common_shingles, "__defaults__", (sample,))
+@pytest.mark.parametrize("cells", [1 << 16])
+def test_near_copies_are_linked(spark, monkeypatch, cells):
+    monkeypatch.setattr(neardup.weights, "__defaults__", (cells,))
     rng = random.Random(7)
     words = [f"w{i}" for i in range(400)]
     texts = [None, "", "word", "Word", "two words", "a b c d e", "a b c d e f", "a b c d e a b c d e a"]

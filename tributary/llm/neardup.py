@@ -9,8 +9,9 @@
    formed; sizes and the positions met at bound what a pair can share; pairs that stay are verified on whole sets.
 
 So components are exact: every pair across components was looked at, and none below the threshold links. Shingles are
-compared by 64-bit digests (XXH64, seed 42). The order puts common shingles last, so prefixes meet at rare ones.
-Counts come from about ``SAMPLE`` documents; they decide how many candidates there are, never which pairs are found.
+compared by 64-bit digests (XXH64, seed 42). The order puts common shingles last, so prefixes meet at rare ones. It goes by
+counts over all documents in ``CELLS`` cells of digests, a table of one size for any corpus; where shingles share a
+cell, they share a place in the order. It decides how many candidates there are, never which pairs are found.
 Documents with one set of shingles are collapsed before the search and rejoined after it.
 
 Fewer than five words are one shingle; null texts and texts without a word have the empty set and are alike. Rows
@@ -21,8 +22,11 @@ an empty result; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ from tributary.llm.common import forget, map_columns, materialize, release
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import LOWER, SEED, WORD
 
-SHINGLE, SAMPLE, COMMON, MAP = 5, 8_000, 1_000_000, 1 << 22
+SHINGLE, CELLS, BLOCK, MAP = 5, 1 << 22, 1 << 16, 1 << 22
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -46,31 +50,43 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(g), SEED) for g in grams], np.uint64).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles one of which any set with similarity 0.8 or more shares, rarest first."""
+def prefix(own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The shingles one of which any set with similarity 0.8 or more shares, those of light cells first."""
     n = len(own)
-    if not n:
-        return own
-    ranks = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        ranks = np.where(common[at] == own, rank[at], 0)
-    return own[np.lexsort((own, ranks))[: n - -(-4 * n // 5) + 1]]
+    return own[np.lexsort((own, weight[own & (len(weight) - 1)]))[: n - -(-4 * n // 5) + 1]] if n else own
 
 
-def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles met more than once in a sample of documents, sorted, and their counts; bounded by ``COMMON``."""
-    share = min(1.0, sample / max(rows.count(), 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
+def weights(rows: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """How often the shingles of each cell are met in all documents, on a logarithmic scale; ``cells`` numbers.
 
-    def make():
-        forget()
-        return lambda texts: {"h": np.concatenate([np.zeros(0, np.int64), *map(shingles, texts)])}
+    A shingle's cell are its last bits. Each task adds up its own documents and sends what it met, packed, in blocks.
+    """
 
-    met = map_columns(picked.select("text"), "h long", make, rows=500)
-    top = met.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    order = np.argsort(top["h"].to_numpy(np.int64))
-    return top["h"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        met = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [shingles(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                np.add.at(met, np.concatenate([np.zeros(0, np.int64), *found]) & (cells - 1), 1)
+        for block, own in enumerate(met.reshape(-1, BLOCK)):
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "met": pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, met in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total.setdefault(block, np.zeros(BLOCK, np.uint64))
+                total[block] += np.frombuffer(zlib.decompress(met), np.uint32)
+        for block, n in total.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "met": pa.array([(np.log2(n + 1.0) * 1024).astype(np.uint16).tobytes()], pa.binary())})
+
+    kind = "block int, met binary"
+    out = np.zeros(cells, np.uint16)
+    for r in rows.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect():  # 2 bytes a cell
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.met, np.uint16)
+    return out
 
 
 def spots(ids: DataFrame) -> np.ndarray:
@@ -109,7 +125,7 @@ def sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``(src, dst)`` with similarity 0.8 or more, written; ``rows`` has texts."""
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    whole = materialize(sets_of(wanted, rows).join(wanted, "doc_id", "left_semi"), "sets")
+    whole = materialize(sets_of(wanted, rows), "sets")
     x, y = whole.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), whole.select(F.col("doc_id").alias("dst"), F.col("own").alias("y"))
     both = pairs.join(x, "src").join(y, "dst")
     out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct(), "links")
@@ -165,15 +181,15 @@ def links(firsts: DataFrame, rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs`` with a doc_id; component_id is its group's smallest doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(rows))  # 2 bytes a cell
 
     def make():
         forget()
-        common, rank = shared.value
+        weight = shared.value
 
         def run(ids, texts):
             owns = [shingles(t) for t in texts]
-            return {"doc_id": ids, "n": [len(o) for o in owns], "digest": [hashlib.blake2b(o.tobytes(), digest_size=16).digest() for o in owns], "fp": [simhash.signed(simhash.majority(o)) for o in owns], "prefix": [prefix(o, common, rank) for o in owns]}
+            return {"doc_id": ids, "n": [len(o) for o in owns], "digest": [hashlib.blake2b(o.tobytes(), digest_size=16).digest() for o in owns], "fp": [simhash.signed(simhash.majority(o)) for o in owns], "prefix": [prefix(o, weight) for o in owns]}
 
         return run
 
