@@ -161,9 +161,9 @@ def links(firsts: DataFrame, rows: DataFrame) -> DataFrame:
     close = verified(pairs, rows)
     release(pairs)
     # Most shingles have one holder. Short hashes tell nearly all of them; what else they let through does no harm.
-    entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n").withColumn("short", F.hash("h"))
-    shared = entries.groupBy("short").agg(F.count("*").alias("k")).where("k > 1").select("short")
-    entries = materialize(entries.join(shared, "short").drop("short"), "shared")
+    entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n")
+    shared = entries.groupBy(F.hash("h").alias("short")).agg(F.count("*").alias("k")).where("k > 1").select("short")
+    entries = materialize(entries.join(shared, F.hash("h") == F.col("short"), "left_semi"), "shared")
     mixed = _mixed(entries, close)
     side = lambda x, to, of: [F.col(of + "doc_id").alias(to), *[F.col(of + c).alias(c + x) for c in ("n", "at", "comp")]]
     met = mixed.select(*side("a", "src", "head."), *side("b", "dst", "")).where(_FITS).select("src", "dst").distinct()
