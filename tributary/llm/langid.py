@@ -24,12 +24,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tributary.llm.common import forget, map_columns, only
+from tributary.llm.common import forget, map_columns, map_values, only
 
 SAMPLE, FEATURES, ORDERS, SWITCH, CACHE, WORDS = 4_000, 100_000, 3, 6.0, 200_000, 300_000
 #: First and last code point of the scripts told apart (fixed values of the Unicode blocks).
@@ -361,11 +359,11 @@ def keep_recognised(docs: DataFrame, model: Model, least: float = 0.25) -> DataF
     """The rows whose text has a language that holds at least ``least`` of its letters, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("boolean")
-    def recognised(text: pd.Series) -> pd.Series:
-        found = _labeller(shared).predict(t if isinstance(t, str) else None for t in text)
-        return pd.Series([lang != "und" and score >= least for lang, score, _ in found], dtype=bool)
+    def make():
+        labeller = _labeller(shared)
+        return lambda texts: [lang != "und" and score >= least for lang, score, _ in labeller.predict(texts)]
 
+    recognised = map_values("boolean", make)
     return docs.where(recognised(F.col("text").cast("string")))
 
 

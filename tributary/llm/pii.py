@@ -32,12 +32,10 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from tributary.llm.common import map_columns
+from tributary.llm.common import map_columns, map_values
 from tributary.llm.permutation import permute, permute_digits
 
 KEY = b"tributary"
@@ -513,8 +511,5 @@ def redact(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``; all other columns and the order of columns stay."""
     salts = resolve(docs, key)
 
-    @pandas_udf("string")
-    def redacted(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: replace(t, key, salts)[0] if isinstance(t, str) else None)
-
+    redacted = map_values("string", lambda: lambda texts: [None if t is None else replace(t, key, salts)[0] for t in texts])
     return docs.withColumn("text", redacted(F.col("text").cast("string")))
