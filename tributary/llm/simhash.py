@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import map_columns, materialize, release
+from tributary.llm.common import map_columns, materialize, release, shuffled
 from tributary.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -81,17 +81,17 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     entries = fps.select("fp", F.explode(segments).alias("s")).select("fp", "s.seg", "s.part")
     sizes = entries.groupBy("seg", "part").agg(F.count("*").alias("n"), F.min("fp").alias("only"))
     shared = materialize(sizes.where(F.col("n") > bucket).select("seg", "part"), "buckets")
-    tables = entries.join(shared, ["seg", "part"], "left_anti")
+    tables = entries.join(shuffled(shared), ["seg", "part"], "left_anti")
     ball = F.expr("transform(filter(sequence(0, 31), i -> (part & shiftleft(1L, i)) = 0), i -> part | shiftleft(1L, i))")
     probes = entries.select("fp", "seg", F.explode(F.concat(F.array("part"), ball)).alias("part"))
     met = (
         tables.select("seg", "part", F.col("fp").alias("fp_b"))
-        .join(probes.withColumnRenamed("fp", "fp_a"), ["seg", "part"])
+        .join(shuffled(probes.withColumnRenamed("fp", "fp_a")), ["seg", "part"])
         .where((F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= BITS) & (F.col("fp_a") != F.col("fp_b")))
         .select(F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b"))
     )
     # Crowded buckets: whoever is in one, or probes one, meets there by whole-fingerprint balls.
-    crowd = probes.join(shared, ["seg", "part"], "left_semi").select("fp").distinct()
+    crowd = probes.join(shuffled(shared), ["seg", "part"], "left_semi").select("fp").distinct()
     whole = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     keys = crowd.select("fp", F.explode(whole).alias("key"))
     stars = keys.groupBy("key").agg(F.min("fp").alias("fp_a"), F.collect_set("fp").alias("all"))  # at most 65 a key
@@ -113,15 +113,15 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     found = links(classes.select("fp"), bucket)
     a = classes.select(F.col("fp").alias("fp_a"), F.col("rep").alias("src"))
     b = classes.select(F.col("fp").alias("fp_b"), F.col("rep").alias("dst"))
-    edges = found.join(a, "fp_a").join(b, "fp_b").select("src", "dst")
+    edges = found.join(shuffled(a), "fp_a").join(shuffled(b), "fp_b").select("src", "dst")
     comp = connected_components(edges)
     release(found)
-    member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = classes.join(shuffled(comp.withColumnRenamed("node", "rep")), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(shuffled(member), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The documents whose doc_id is the smallest of their component; documents without a doc_id stay."""
     kept = near_duplicates(docs, bucket).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
+    named = docs.join(shuffled(kept), docs["doc_id"] == kept["doc_id"], "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
