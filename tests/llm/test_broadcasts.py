@@ -2,7 +2,7 @@
 
 import random
 
-from tributary.llm import components, simhash
+from tributary.llm import components, neardup, simhash
 from tributary.llm.common import materialize
 
 
@@ -28,3 +28,13 @@ def test_simhash_broadcasts_nothing(spark, monkeypatch):
     plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
     assert [name for name, p in plans if "Broadcast" in p] == []
     assert {r.component_id for r in got.where("doc_id >= 1000").collect()} == set(range(50))
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    r = random.Random(3)
+    words = [[f"w{r.randrange(5000)}" for _ in range(60)] for _ in range(60)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "x"]) for w in words[:20]]
+    plans = planned(monkeypatch, neardup, simhash, components)
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert plans and [name for name, p in plans if "Broadcast" in p] == []
+    assert {(x.doc_id, x.component_id) for x in got.where("doc_id >= 60").collect()} == {(60 + i, i) for i in range(20)}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import simhash
-from tributary.llm.common import forget, map_columns, materialize, release
+from tributary.llm.common import forget, map_columns, materialize, release, shuffled
 from tributary.llm.components import connected_components
 from tributary.llm.simhash import LOWER, SEED, WORD
 
@@ -127,7 +127,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     whole = materialize(sets_of(wanted, rows), "sets")
     x, y = whole.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), whole.select(F.col("doc_id").alias("dst"), F.col("own").alias("y"))
-    both = pairs.join(x, "src").join(y, "dst")
+    both = pairs.join(shuffled(x), "src").join(shuffled(y), "dst")
     out = materialize(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("src", "dst").distinct(), "links")
     release(whole)
     return out
@@ -136,17 +136,17 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def proposed(firsts: DataFrame) -> DataFrame:
     """Pairs ``(src, dst)`` that connect documents with fingerprints ``fp`` up to ``simhash.BITS`` apart."""
     heads = firsts.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    alike = firsts.join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
-    near = simhash.links(heads.select("fp")).join(heads.select(F.col("fp").alias("fp_a"), F.col("head").alias("a")), "fp_a").join(heads.select(F.col("fp").alias("fp_b"), F.col("head").alias("b")), "fp_b")
+    alike = firsts.join(shuffled(heads), "fp").where("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
+    near = simhash.links(heads.select("fp")).join(shuffled(heads.select(F.col("fp").alias("fp_a"), F.col("head").alias("a"))), "fp_a").join(shuffled(heads.select(F.col("fp").alias("fp_b"), F.col("head").alias("b"))), "fp_b")
     return alike.unionByName(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``entries`` (h, at, doc_id, n) whose shingle ``h`` two components of ``found`` hold, with the component and the smallest holder."""
     comp = connected_components(found)
-    own = entries.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("h", "at", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    own = entries.join(shuffled(comp.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("h", "at", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     mixed = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("doc_id", "n", "at", "comp")).alias("head")).where("lo <> hi")
-    out = materialize(own.join(mixed.select("h", "head"), "h"), "mixed")
+    out = materialize(own.join(shuffled(mixed.select("h", "head")), "h"), "mixed")
     release(comp)
     return out
 
@@ -163,15 +163,15 @@ def links(firsts: DataFrame, rows: DataFrame) -> DataFrame:
     # Most shingles have one holder. Short hashes tell nearly all of them; what else they let through does no harm.
     entries = firsts.select(F.posexplode("prefix").alias("at", "h"), "doc_id", "n")
     shared = entries.groupBy(F.hash("h").alias("short")).agg(F.count("*").alias("k")).where("k > 1").select("short")
-    entries = materialize(entries.join(shared, F.hash("h") == F.col("short"), "left_semi"), "shared")
+    entries = materialize(entries.join(shuffled(shared), F.hash("h") == F.col("short"), "left_semi"), "shared")
     mixed = _mixed(entries, close)
     side = lambda x, to, of: [F.col(of + "doc_id").alias(to), *[F.col(of + c).alias(c + x) for c in ("n", "at", "comp")]]
     met = mixed.select(*side("a", "src", "head."), *side("b", "dst", "")).where(_FITS).select("src", "dst").distinct()
     stars = materialize(met, "stars")
     star_links = verified(stars, rows)
     again = _mixed(mixed.drop("comp", "head"), close.unionByName(star_links))
-    cross = again.select("h", *side("a", "src", "")).join(again.select("h", *side("b", "dst", "")), "h").where(f"src < dst and {_FITS}")
-    pairs = materialize(cross.select("src", "dst").distinct().join(stars, ["src", "dst"], "left_anti"), "candidates")
+    cross = again.select("h", *side("a", "src", "")).join(shuffled(again.select("h", *side("b", "dst", ""))), "h").where(f"src < dst and {_FITS}")
+    pairs = materialize(cross.select("src", "dst").distinct().join(shuffled(stars), ["src", "dst"], "left_anti"), "candidates")
     last = verified(pairs, rows)
     out = materialize(close.unionByName(star_links).unionByName(last), "all-links")
     release(entries, mixed, again, stars, pairs, close, star_links, last)
@@ -196,12 +196,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(map_columns(rows, "doc_id long, n long, digest binary, fp long, prefix array<long>", make, rows=500), "prefixes")
     classes = materialize(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # Copies go by their doc_id, so that prefixes aren't moved.
-    copies = materialize(sets.select("digest", "doc_id").join(classes, "digest").where("doc_id <> rep").select("doc_id").distinct(), "copies")
-    firsts = sets.join(copies, "doc_id", "left_anti").select("doc_id", "n", "fp", "prefix")
+    copies = materialize(sets.select("digest", "doc_id").join(shuffled(classes), "digest").where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    firsts = sets.join(shuffled(copies), "doc_id", "left_anti").select("doc_id", "n", "fp", "prefix")
     found = links(firsts, rows)
     comp = connected_components(found)
-    member = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = materialize(sets.select("doc_id", "digest").join(member, "digest").select("doc_id", "component_id"), "near-duplicates")
+    member = classes.join(shuffled(comp.withColumnRenamed("node", "rep")), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = materialize(sets.select("doc_id", "digest").join(shuffled(member), "digest").select("doc_id", "component_id"), "near-duplicates")
     release(sets, classes, copies, found, comp)
     return out
 
@@ -209,5 +209,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents whose doc_id is the smallest of their component; documents without a doc_id stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi")
+    named = docs.join(shuffled(kept), docs["doc_id"] == kept["doc_id"], "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
