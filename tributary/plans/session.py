@@ -14,12 +14,14 @@ from tributary import sinks
 from tributary.durable import materialize
 from tributary.names import fold, fold_column, node_key, parse_address, split_name
 from tributary.operators import closure, tables
+from tributary.plans import lookup
 from tributary.schemas import DDL, schema
 from tributary.sources import files
 from tributary.tsql.analyze import DEFAULTS, analyze, facts
 from tributary.tsql.model import Catalog, Column, Entry
 
 MODULE_TYPES = ("Procedure", "View", "ScalarFunction", "InlineTvf", "MsTvf", "Trigger", "JobStep", "Script", "ClrModule")
+FEW, SMALL = 20_000, 8_000_000  # objects and characters up to which a catalog goes to all tasks whole
 VERSION = "1"  # of the analysis; a change re-analyses all modules
 UNREAD = ("Quarantined", "NoDefinition(CLR)", "NoDefinition(Encrypted)", "DefinitionSizeLimit", "Error")
 ROW_TABLES = ("ColumnLineage", "ObjectLineage", "DynamicSql", "Unresolved", "Statements", "Modules")
@@ -71,8 +73,9 @@ def _catalog(shared: tuple, patterns: list[str]) -> tuple[Catalog, dict]:
 
 
 class LineageSession:
-    """A run over catalog entries. The catalog without definitions is small and goes to all tasks; definitions are
-    read where they are analysed, but for views and inline functions, whose shapes others need."""
+    """A run over catalog entries. Up to ``FEW`` objects the catalog without definitions goes to all tasks, a larger one is
+    joined to the modules that ask for its objects; definitions are read where they are analysed, but for views and
+    inline functions, whose shapes others need."""
 
     def __init__(self, spark: SparkSession, entries: DataFrame, config: Config | None = None, deps: DataFrame | None = None, previous: dict[str, DataFrame] | None = None, data: dict[str, DataFrame] | None = None):
         self.spark, self.config, self.deps, self.previous = spark, config or Config(), deps, previous
@@ -112,10 +115,17 @@ class LineageSession:
 
     # analysis
 
-    def _catalog_rows(self) -> list:
-        """Catalog without the definitions nobody else needs; bounded by the number of objects."""
-        slim = self.entries.where("type <> 'Script'").withColumn("definition", F.when(F.col("type").isin("View", "InlineTvf"), F.col("definition")))
-        return sorted((r.asDict() for r in slim.collect()), key=lambda r: r["source"] or "")
+    def _slim(self) -> DataFrame:
+        """Catalog without the definitions nobody else needs."""
+        return self.entries.where("type <> 'Script'").withColumn("definition", F.when(F.col("type").isin("View", "InlineTvf"), F.col("definition")))
+
+    def _whole(self, facts: DataFrame) -> tuple | None:
+        """Catalog and facts where they are few, else none."""
+        slim, size = self._slim(), lambda *c: F.coalesce(F.sum(sum((F.length(F.coalesce(x, F.lit(""))) for x in c), F.lit(0))), F.lit(0))
+        n = [slim.agg(F.count("*"), size(F.col("definition"), F.col("columns"))).first(), facts.agg(F.count("*"), size(F.array_join("values", ""))).first()]
+        if n[0][0] + n[1][0] > FEW or n[0][1] + n[1][1] > SMALL:
+            return None
+        return sorted((r.asDict() for r in slim.collect()), key=lambda r: r["source"] or ""), [tuple(r) for r in facts.collect()]
 
     def prepass(self) -> dict:
         """Literals passed to parameters, and tables that code creates."""
@@ -134,9 +144,10 @@ class LineageSession:
 
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES) & F.col("definition").isNotNull())
         rows = _spread(mods).mapInPandas(run, "kind string, server string, database string, name string, param string, value string")
-        found = rows.distinct().groupBy("kind", "server", "database", "name", "param").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 32).alias("values"), F.count("*").alias("n")).collect()
+        found = rows.distinct().groupBy("kind", "server", "database", "name", "param").agg(F.slice(F.array_sort(F.collect_set("value")), 1, 32).alias("values"), F.count("*").alias("n"))
+        found = materialize(found, "facts")
         self.tasks["prepass"] = "done"
-        return {"facts": [tuple(r) for r in found]}
+        return {"facts": found}
 
     def signature(self) -> str:
         """Hash of what module text alone doesn't say: settings, and the shapes of all objects."""
@@ -162,8 +173,7 @@ class LineageSession:
     def analyze(self, prepass: dict | None = None) -> dict[str, DataFrame]:
         """Rows of all tables from all modules; modules a previous run answers are taken from there."""
         known = (prepass or self.prepass())["facts"]
-        catalog_rows, config = self._catalog_rows(), self.config
-        shared = self.spark.sparkContext.broadcast((catalog_rows, known))
+        whole, config = self._whole(known), self.config
         settings, patterns, run_id = DEFAULTS | config.settings | {"config_values": self._config_values(), "linked_servers": config.linked_servers}, config.archive_patterns, config.run_id
         mods = self.entries.where(F.col("type").isin(*MODULE_TYPES)).withColumn("DefinitionHash", tables.definition_hash(F.coalesce("definition", F.lit(""))))
         by = ["Server", "Database", "ModuleSchema", "ModuleName"]
@@ -173,20 +183,26 @@ class LineageSession:
             reused, named = tables.split_reusable(named, self.previous["Modules"], by)
         todo = named.withColumnsRenamed({"Server": "server", "Database": "database", "ModuleSchema": "schema", "ModuleName": "name"})
 
-        def run(frames):
-            catalog, args = _catalog(shared.value, patterns)
-            for f in frames:
-                out = []
-                for r in f.to_dict("records"):
-                    e = files.unpack(r)
-                    row, more, first = analyze(catalog, e, {"args": args}, settings, run_id)
-                    row |= {"DefinitionHash": r["DefinitionHash"]}
-                    out.append(("Modules", json.dumps(row)))
-                    out += [(t, json.dumps(x)) for t, xs in more.items() for x in xs]
-                    out += [("ResultSet", json.dumps({"Server": e.server, "Database": e.database, "Schema": e.schema, "Object": e.name, "Ordinal": i + 1, "Name": n})) for i, n in enumerate(first)]
-                yield pd.DataFrame(out, columns=["table", "payload"])
-
-        raw = materialize(_spread(todo).select(*[c.split()[0] for c in files.ENTRY.split(", ")], "DefinitionHash").mapInPandas(run, "table string, payload string"), "analysis")
+        def one(catalog, e, r, args):
+            row, more, first = analyze(catalog, e, {"args": args}, settings, run_id)
+            row |= {"DefinitionHash": r["DefinitionHash"]}
+            out = [("Modules", json.dumps(row))]
+            out += [(t, json.dumps(x)) for t, xs in more.items() for x in xs]
+            return out + [("ResultSet", json.dumps({"Server": e.server, "Database": e.database, "Schema": e.schema, "Object": e.name, "Ordinal": i + 1, "Name": n})) for i, n in enumerate(first)]
+
+        todo = todo.select(*[c.split()[0] for c in files.ENTRY.split(", ")], "DefinitionHash")
+        if whole is None:
+            raw = lookup.analysed(todo, lookup.index(self._slim(), known), lookup.literals(known), patterns, _spread, one)
+        else:
+            shared = self.spark.sparkContext.broadcast(whole)
+
+            def run(frames):
+                catalog, args = _catalog(shared.value, patterns)
+                for f in frames:
+                    out = [x for r in f.to_dict("records") for x in one(catalog, files.unpack(r), r, args)]
+                    yield pd.DataFrame(out, columns=["table", "payload"])
+
+            raw = materialize(_spread(todo).mapInPandas(run, "table string, payload string"), "analysis")
         part = lambda t, s: raw.where(F.col("table") == t).select(F.from_json("payload", s).alias("r")).select("r.*")
         for t in ROW_TABLES:
             self.tables[t] = part(t, schema(t))
